@@ -163,7 +163,9 @@ def recognised_text(lines: Column, min_score: float = DEFAULTS.ocr_min_confidenc
     return F.coalesce(F.array_join(F.transform(kept, lambda x: strip(x["text"])), "\n"), F.lit(""))
 
 
-def _crop_spread(rgb, width, height, x0, y0, x1, y1) -> pa.Array:
+def _crop_spread(
+    rgb: pa.Array, width: pa.Array, height: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array
+) -> pa.Array:
     out = []
     columns = [c.to_pylist() for c in (width, height, x0, y0, x1, y1)]
     for pixels, w, h, a, b, c, d in zip(rgb, *columns):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from unicodedata import normalize
+
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from lamplight.settings import DEFAULTS
@@ -34,10 +37,13 @@ def squash(text: Column) -> Column:
     return F.regexp_replace(strip(text), rf"[{WHITESPACE}]+", " ")
 
 
-def _nfkc(text):
-    import pyarrow.compute as pc
+def _nfkc(words: pa.Array) -> pa.Array:
+    return pa.array((None if w is None else normalize("NFKC", w) for w in words.to_pylist()), type=pa.string())
+
 
-    return pc.utf8_normalize(text, form="NFKC")
+def _nfkc_lists(lists: pa.Array) -> pa.Array:
+    filled = lists.fill_null([])
+    return pa.ListArray.from_arrays(filled.offsets, _nfkc(filled.flatten()), mask=lists.is_null())
 
 
 def nfkc(text: Column) -> Column:
@@ -46,6 +52,12 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(F.arrow_udf(_nfkc, "string")(F.when(foreign, text)), text)
 
 
+def nfkc_all(texts: Column) -> Column:
+    """Normalises every string of an array in one call."""
+    foreign = F.exists(texts, lambda t: F.coalesce(t.rlike(r"[^\x00-\x7F]"), F.lit(False)))
+    return F.coalesce(F.arrow_udf(_nfkc_lists, "array<string>")(F.when(foreign, texts)), texts)
+
+
 def language_from_counts(arabic: Column, latin: Column) -> Column:
     letters = arabic + latin
     share = arabic / letters

@@ -23,10 +23,10 @@ from lamplight.settings import DEFAULTS, ExtractOptions, Settings
 NO_VECTORS = "embedder returned the wrong number of vectors"
 
 
-def packed_documents(docs: DataFrame, blocks: Column) -> DataFrame:
+def packed_documents(docs: DataFrame, items: Column) -> DataFrame:
     """``docs`` plus blocks, packed chunks and languages, still one row per document."""
     return (
-        docs.withColumn("blocks", blocks)
+        extract.with_blocks(docs, items)
         .withColumn("detected_languages", extract.languages_of_blocks(F.col("blocks")))
         .withColumn("packed", pack(F.col("blocks")))
     )
@@ -181,7 +181,7 @@ def ingest_documents(
     # Of several files of one name in a batch the last is ingested, as in sequence.
     last = good.groupBy("report_id").agg(F.max("seq").alias("seq"))
     good = good.join(last, ["report_id", "seq"])
-    packed = packed_documents(good, extract.blocks_of_items(items))
+    packed = packed_documents(good, items)
     rows = chunk_rows(packed.select("channel_id", "report_id", "blocks", "detected_languages", "packed"))
     table = chunk_table(embedded(rows, embedder), extractor, now)
     deleted = store.replace_chunks(table, good.select("channel_id", "report_id"))

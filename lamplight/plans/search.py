@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
+from itertools import islice
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -12,6 +14,7 @@ from lamplight.functions import ranking, text as words, vectors
 from lamplight.functions.providers import Embedder, Reranker
 from lamplight.operators import fusion, neighbours as around, scoring
 from lamplight.operators.scoring import Question
+from lamplight.session import shared_folder
 
 
 def check_arguments(channel_id: str, alpha: float, prf_beta: float, neighbours: int) -> None:
@@ -148,6 +151,25 @@ def search_all(
     return around.attach(hits, chunks, neighbours, bounded=False)
 
 
+def search_table(chunks: DataFrame, questions: DataFrame, folder: str | None = None, **options) -> DataFrame:
+    """``search_all`` for a table of questions (question_id, text, dense, sparse, scope).
+
+    The driver holds one pass of questions at a time, whatever the table's length;
+    each pass is written to the shared folder before the next one is fetched.
+    """
+    spark = chunks.sparkSession
+    folder = folder or f"{shared_folder(spark)}/search-{uuid4().hex}"
+    rows = questions.select("question_id", "text", "dense", "sparse", "scope").toLocalIterator()
+    passes = 0
+    while batch := list(islice(rows, scoring.QUESTIONS_PER_PASS)):
+        asked = [Question(r[0], r[1], tuple(r[2]), dict(r[3]), r[4]) for r in batch]
+        search_all(chunks, asked, **options).write.parquet(f"{folder}/pass={passes}")
+        passes += 1
+    if not passes:
+        raise ValueError("no questions")
+    return spark.read.option("basePath", folder).parquet(f"{folder}/pass=*").drop("pass")
+
+
 def result_rows(rows: DataFrame) -> DataFrame:
     """Public columns of a single question's result."""
     names = [
@@ -206,12 +228,6 @@ NOTHING_FOUND = "No relevant results found for your question."
 PREVIEW_HIT, PREVIEW_NEIGHBOUR = 220, 200
 
 
-def _joined(rows: DataFrame, piece: Column) -> DataFrame:
-    """Pieces of one result set in display order as one text."""
-    listed = F.array_sort(F.collect_list(F.struct("position", piece.alias("piece"))))
-    return rows.agg(F.array_join(F.transform(listed, lambda e: e["piece"]), "\n").alias("body"))
-
-
 def as_markdown(wire: DataFrame) -> DataFrame:
     """A result set (a page of hits with context) as one chat message."""
     numbered = F.count_if(~F.col("is_neighbour")).over(_display_order())
@@ -230,13 +246,13 @@ def as_markdown(wire: DataFrame) -> DataFrame:
         F.when(body != "", F.concat(F.lit("\n"), words.blockquote(body))).otherwise(""),
     )
     pieces = wire.withColumn("_piece", F.when(F.col("is_neighbour"), context).otherwise(hit))
-    text = _joined(pieces, F.col("_piece"))
-    count = result_counts(wire)
-    return count.join(text, how="full").select(
-        F.when(F.col("result_count") == 0, NOTHING_FOUND)
-        .otherwise(
-            F.concat(F.lit("Found **"), F.col("result_count").cast("string"), F.lit("** relevant result(s):\n"), "body")
-        )
+    listed = F.array_sort(F.collect_list(F.struct("position", "_piece")))
+    return pieces.agg(
+        F.count_if(~F.col("is_neighbour")).alias("hits"),
+        F.array_join(F.transform(listed, lambda e: e["_piece"]), "\n").alias("body"),
+    ).select(
+        F.when(F.col("hits") == 0, NOTHING_FOUND)
+        .otherwise(F.concat(F.lit("Found **"), F.col("hits").cast("string"), F.lit("** relevant result(s):\n"), "body"))
         .alias("message")
     )
 

@@ -46,27 +46,3 @@ def windowed(events: DataFrame, at: str, width: str, key: str, latency: str = "v
     return events.groupBy(F.window(at, width).alias("w"), key).agg(
         F.count(F.lit(1)).alias("events"), F.sum(latency).alias("total_latency")
     ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "events", "total_latency")
-
-
-def progress(pages: DataFrame, by: list[str], order: str, cost_ms: str) -> DataFrame:
-    """Running pages per second and the time left, document by document.
-
-    Rows are numbered and summed in order inside ``by``; a document's pages are far
-    fewer than its blocks.
-    """
-    from pyspark.sql import Window
-
-    so_far = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    done = F.count(F.lit(1)).over(so_far)
-    elapsed = F.sum(cost_ms).over(so_far)
-    rate = F.when(elapsed > 0, done / elapsed * 1000.0).otherwise(0.0)
-    total = F.count(F.lit(1)).over(whole)
-    return pages.select(
-        *by,
-        order,
-        done.alias("done"),
-        total.alias("total"),
-        rate.alias("pages_per_second"),
-        F.when(rate > 0, (total - done) / rate).alias("seconds_left"),
-    )

@@ -113,43 +113,36 @@ def item_rows(docs: DataFrame, items: Column) -> DataFrame:
     )
 
 
-def blocks_of_items(items: Column, per_page: int = DEFAULTS.max_blocks_per_page) -> Column:
-    """Worded items as the block array the packer takes, in reading order.
+def with_blocks(docs: DataFrame, items: Column, per_page: int = DEFAULTS.max_blocks_per_page) -> DataFrame:
+    """``docs`` plus ``blocks``: worded, normalised items as the array the packer takes.
 
-    Items of a page beyond ``per_page`` known ones are dropped, as on any page. Items
-    come in page order, so an item's ordinal in its page is its index less the index
-    of the first item of that page.
+    Items come in page order, so an item is beyond the first ``per_page`` of its page
+    exactly when the item that many places earlier is on the same page. The known
+    items are a column of their own: an expression inside a lambda would be computed
+    again for every element.
     """
     known = F.filter(
         items, lambda x: item_kind(x["class_name"]).isNotNull() & x["page_number"].isNotNull()
     )
-    pages = F.transform(known, lambda x: x["page_number"])
-    first = F.map_from_entries(
-        F.filter(
-            F.transform(
-                known,
-                lambda x, n: F.when(
-                    (n == 0) | (F.get(pages, n - 1) != x["page_number"]),
-                    F.struct(x["page_number"].alias("key"), n.alias("value")),
-                ),
+    items_now = F.col("_known")
+
+    def block(x: Column, n: Column) -> Column:
+        earlier = F.get(items_now, n - per_page)["page_number"]
+        return F.when(
+            F.coalesce(earlier != x["page_number"], F.lit(True)),
+            F.struct(
+                item_kind(x["class_name"]).alias("type"),
+                F.get(F.col("_texts"), n).alias("content"),
+                n.alias("reading_order"),
+                x["page_number"],
+                F.lit(None).cast(schemas.BOX).alias("bbox"),
             ),
-            lambda e: e.isNotNull(),
         )
-    )
-    numbered = F.transform(
-        known,
-        lambda x, n: F.struct(
-            item_kind(x["class_name"]).alias("type"),
-            x["text"].alias("content"),
-            n.alias("reading_order"),
-            x["page_number"],
-            F.lit(None).cast(schemas.BOX).alias("bbox"),
-        ),
-    )
-    capped = F.filter(
-        numbered, lambda b: b["reading_order"] - F.element_at(first, b["page_number"]) < per_page
-    )
-    return F.filter(capped, lambda b: text.has_text(b["content"]))
+
+    blocks = F.filter(F.transform(items_now, block), lambda b: text.has_text(b["content"]))
+    texts = text.nfkc_all(F.transform(items_now, lambda x: x["text"]))
+    staged = docs.withColumn("_known", known).withColumn("_texts", texts)
+    return staged.withColumn("blocks", blocks).drop("_known", "_texts")
 
 
 def languages_of_blocks(blocks: Column) -> Column:
@@ -182,7 +175,3 @@ def languages_of_blocks(blocks: Column) -> Column:
         )
 
     return F.aggregate(blocks, start, step, finish)
-
-
-def main_language(blocks: Column) -> Column:
-    return document_language(languages_of_blocks(blocks))
