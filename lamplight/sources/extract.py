@@ -117,32 +117,35 @@ def with_blocks(docs: DataFrame, items: Column, per_page: int = DEFAULTS.max_blo
     """``docs`` plus ``blocks``: worded, normalised items as the array the packer takes.
 
     Items come in page order, so an item is beyond the first ``per_page`` of its page
-    exactly when the item that many places earlier is on the same page. The known
-    items are a column of their own: an expression inside a lambda would be computed
-    again for every element.
+    exactly when the item that many places earlier is on the same page. Everything an
+    element needs is zipped to it: an expression captured by a lambda would be
+    computed again for every element.
     """
     known = F.filter(
         items, lambda x: item_kind(x["class_name"]).isNotNull() & x["page_number"].isNotNull()
     )
-    items_now = F.col("_known")
-
-    def block(x: Column, n: Column) -> Column:
-        earlier = F.get(items_now, n - per_page)["page_number"]
+    staged = docs.withColumn("_known", known)
+    texts = text.nfkc_all(F.transform("_known", lambda x: x["text"]))
+    pages = F.transform("_known", lambda x: x["page_number"])
+    earlier = F.concat(F.array_repeat(F.lit(None).cast("int"), per_page), pages)
+    zipped = F.arrays_zip(F.col("_known").alias("item"), texts.alias("words"), earlier.alias("earlier"))
+
+    def block(z: Column, n: Column) -> Column:
+        page = z["item"]["page_number"]
+        kept = page.isNotNull() & F.coalesce(z["earlier"] != page, F.lit(True)) & text.has_text(z["words"])
         return F.when(
-            F.coalesce(earlier != x["page_number"], F.lit(True)),
+            kept,
             F.struct(
-                item_kind(x["class_name"]).alias("type"),
-                F.get(F.col("_texts"), n).alias("content"),
+                item_kind(z["item"]["class_name"]).alias("type"),
+                z["words"].alias("content"),
                 n.alias("reading_order"),
-                x["page_number"],
+                page.alias("page_number"),
                 F.lit(None).cast(schemas.BOX).alias("bbox"),
             ),
         )
 
-    blocks = F.filter(F.transform(items_now, block), lambda b: text.has_text(b["content"]))
-    texts = text.nfkc_all(F.transform(items_now, lambda x: x["text"]))
-    staged = docs.withColumn("_known", known).withColumn("_texts", texts)
-    return staged.withColumn("blocks", blocks).drop("_known", "_texts")
+    blocks = F.filter(F.transform(zipped, block), lambda b: b.isNotNull())
+    return staged.withColumn("blocks", blocks).drop("_known")
 
 
 def languages_of_blocks(blocks: Column) -> Column:

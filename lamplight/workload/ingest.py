@@ -36,7 +36,7 @@ def _documents(spark, folder):
 
 def _web(spark, folder):
     docs = view.html_documents(spark, folder).withColumns(
-        {"report_id": F.col("doc_id").cast("string"), "channel_id": F.lit("web")}
+        {"report_id": F.col("doc_id").cast("string"), "channel_id": F.lit("web"), "filename": F.lit("page.pdf")}
     )
     return plan.packed_documents(docs, extract.html_items(F.col("html")))
 
@@ -211,9 +211,6 @@ def _(spark, folder):
     return plan.ingest_message(plan.ingest_stats(_web(spark, folder), EMBEDDER, "html"), 12)
 
 
-_LAST = f"""WITH {_ITEMS} SELECT doc_id, count(*) > 0 AS stored FROM text_items GROUP BY doc_id"""
-
-
 def _store(spark, folder):
     """The given documents ingested into a fresh warehouse, twice over."""
     store = Warehouse(spark, f"{shared_folder(spark)}/warehouse-{uuid4().hex}")
