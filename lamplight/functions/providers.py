@@ -9,12 +9,12 @@ know which kind they got.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from lamplight.settings import DEFAULTS
@@ -65,35 +65,47 @@ def token_id(word: str, dimension: int = DEFAULTS.embed_sparse_dim) -> int:
     return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimension
 
 
-def _sparse_rows(tokens: pa.Array, dimension: int) -> pa.Array:
-    seen: dict[str, int] = {}
-    rows = []
-    for row in tokens.to_pylist():
-        weights: Counter = Counter()
-        for word, count in Counter(row or ()).items():
-            if word not in seen:
-                seen[word] = token_id(word, dimension)
-            weights[seen[word]] += count
-        rows.append(sorted(weights.items()))
-    return pa.array(rows, type=pa.map_(pa.int32(), pa.float32()))
+def _token_cells(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Row number and word code of every word in a batch, and the words themselves."""
+    lower = pc.utf8_lower(pc.fill_null(texts, ""))
+    lists = pc.split_pattern_regex(lower, pattern="[^a-z]+")
+    rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    flat = lists.flatten().dictionary_encode()
+    codes, vocabulary = flat.indices.to_numpy(), flat.dictionary.to_pylist()
+    real = np.array([w != "" for w in vocabulary], dtype=bool)
+    if len(codes):
+        rows, codes = rows[real[codes]], codes[real[codes]]
+    return rows, codes, vocabulary
+
+
+def _sparse_rows(texts: pa.Array, dimension: int) -> pa.Array:
+    rows, codes, vocabulary = _token_cells(texts)
+    tokens = np.array([token_id(w, dimension) for w in vocabulary], dtype=np.int64)
+    cells = rows * dimension + (tokens[codes] if len(codes) else codes)
+    cells, counts = np.unique(cells, return_counts=True)
+    offsets = np.searchsorted(cells, np.arange(len(texts) + 1) * dimension)
+    return pa.MapArray.from_arrays(
+        pa.array(offsets, type=pa.int32()),
+        pa.array(cells % dimension, type=pa.int32()),
+        pa.array(counts, type=pa.float32()),
+    )
 
 
-def _dense_rows(tokens: pa.Array, dimension: int) -> pa.Array:
+def _dense_rows(texts: pa.Array, dimension: int) -> pa.Array:
     """Signed feature hashing of the words, scaled to unit length."""
-    offsets = tokens.offsets.to_numpy()
-    flat = tokens.flatten().dictionary_encode()
-    vocabulary = [hashlib.md5(w.encode()).digest() for w in flat.dictionary.to_pylist()]
-    slot = np.array([int.from_bytes(d[:4], "big") % dimension for d in vocabulary], dtype=np.int64)
-    sign = np.array([1.0 if d[4] & 1 else -1.0 for d in vocabulary])
-    codes = flat.indices.to_numpy()
-    row = np.repeat(np.arange(len(tokens)), np.diff(offsets))
-    cells = row * dimension + slot[codes] if len(codes) else np.zeros(0, dtype=np.int64)
-    weight = sign[codes] if len(codes) else np.zeros(0)
-    matrix = np.bincount(cells, weights=weight, minlength=len(tokens) * dimension)
-    matrix = matrix.reshape(len(tokens), dimension)
+    rows, codes, vocabulary = _token_cells(texts)
+    digests = [hashlib.md5(w.encode()).digest() for w in vocabulary]
+    slot = np.array([int.from_bytes(d[:4], "big") % dimension for d in digests], dtype=np.int64)
+    sign = np.array([1.0 if d[4] & 1 else -1.0 for d in digests])
+    size = len(texts) * dimension
+    if len(codes):
+        matrix = np.bincount(rows * dimension + slot[codes], weights=sign[codes], minlength=size)
+    else:
+        matrix = np.zeros(size)
+    matrix = matrix.reshape(len(texts), dimension)
     length = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = np.divide(matrix, length, out=matrix, where=length > 0).astype(np.float32)
-    bounds = pa.array(np.arange(len(tokens) + 1, dtype=np.int32) * dimension)
+    bounds = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dimension)
     return pa.ListArray.from_arrays(bounds, pa.array(matrix.ravel()))
 
 
@@ -108,18 +120,18 @@ class LexicalEmbedder:
     def sparse(self, text: Column) -> Column:
         dimension = self.sparse_dimension
 
-        def rows(tokens: pa.Array) -> pa.Array:
-            return _sparse_rows(tokens, dimension)
+        def rows(texts: pa.Array) -> pa.Array:
+            return _sparse_rows(texts, dimension)
 
-        return F.arrow_udf(rows, "map<int,float>")(words(text))
+        return F.arrow_udf(rows, "map<int,float>")(text)
 
     def dense(self, text: Column) -> Column:
         dimension = self.dimension
 
-        def rows(tokens: pa.Array) -> pa.Array:
-            return _dense_rows(tokens, dimension)
+        def rows(texts: pa.Array) -> pa.Array:
+            return _dense_rows(texts, dimension)
 
-        return F.arrow_udf(rows, "array<float>")(words(text))
+        return F.arrow_udf(rows, "array<float>")(text)
 
 
 @dataclass(frozen=True)

@@ -14,7 +14,7 @@ from lamplight.functions import ranking, text as words, vectors
 from lamplight.functions.providers import Embedder, Reranker
 from lamplight.operators import fusion, neighbours as around, scoring
 from lamplight.operators.scoring import Question
-from lamplight.session import shared_folder
+from lamplight.session import cut_lineage, shared_folder
 
 
 def check_arguments(channel_id: str, alpha: float, prf_beta: float, neighbours: int) -> None:
@@ -118,6 +118,9 @@ def hybrid_query(
     pool = fusion.fused_pool(fused, fusion.pool_size(top_k, candidates, rerank))
     rows = fusion.hydrate(pool, corpus, bounded=True)
     hits = fusion.rerank(rows, reranker if rerank else None, top_k, F.lit(text))
+    if neighbours > 0:
+        # The hits feed several joins; without this the corpus would be scored for each.
+        hits = cut_lineage(hits)
     # The hits are at most ``top_k`` rows, so broadcasting them is bounded by the call.
     # Neighbours come from the whole channel, also when the search was narrowed.
     return result_rows(around.attach(hits, in_scope(chunks, channel_id), neighbours, bounded=True))
@@ -148,6 +151,8 @@ def search_all(
         )
         rows = rows.join(asked, "question_id")
     hits = fusion.rerank(rows, reranker, top_k).drop("question")
+    if neighbours > 0:
+        hits = cut_lineage(hits)
     return around.attach(hits, chunks, neighbours, bounded=False)
 
 

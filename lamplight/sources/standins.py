@@ -16,6 +16,7 @@ from lamplight.functions import ids, text
 from lamplight.functions.providers import LexicalEmbedder
 from lamplight.operators import catalog
 from lamplight.sources import extract
+from lamplight.sources.files import spread
 
 EPOCH = 1_704_067_200
 LINES_PER_PAGE = 8
@@ -107,7 +108,7 @@ def reports(spark: SparkSession, folder: str) -> DataFrame:
 
 def line_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Every non-blank line of every document as a chunk of its report."""
-    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"))
     named = docs.withColumns({"channel_id": channel_id(), "filename": _filename()})
     named = named.withColumn("report_id", catalog.report_id(F.col("channel_id"), F.col("filename")))
     rows = named.select(
@@ -126,7 +127,7 @@ def line_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that have a vector, as chunks of the report of their source."""
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"))
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     rows = docs.join(vectors, "doc_id")
     return rows.select(
@@ -205,7 +206,11 @@ PAGE_PIXELS = (1240.0, 1754.0)
 
 def item_boxes(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as layout items with a box in points, some measured from the bottom."""
-    li = table(spark, folder, "lineitem")
+    li = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus", "l_shipdate",
+    )
+    li = spread(li)
     left = F.col("l_quantity") * 6.0
     top = F.col("l_partkey") % 700
     return li.select(
@@ -293,10 +298,7 @@ class TaggedFormula:
 
 
 def html_documents(spark: SparkSession, folder: str) -> DataFrame:
-    p = table(spark, folder, "pages")
-    return p.select(
-        F.col("page_id").alias("doc_id"), "html"
-    )
+    return spread(table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), "html"))
 
 
 def html_item_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -306,7 +308,7 @@ def html_item_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def ingest_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Plain texts and web pages as documents to ingest, two extractors apart."""
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"))
     return docs.select(
         F.col("doc_id").alias("seq"),
         channel_id().alias("channel_id"),

@@ -24,7 +24,7 @@ READERS = dict(reader=view.TaggedLines(), captioner=view.TaggedCaption(), formul
 
 
 def _docs(spark, folder):
-    return view.table(spark, folder, "documents")
+    return files.spread(view.table(spark, folder, "documents").select("doc_id", "lang", "source", "text"))
 
 
 def _regions(spark, folder):
@@ -121,7 +121,11 @@ def _(spark, folder):
     FROM line GROUP BY l_orderkey""",
 )
 def _(spark, folder):
-    li = view.table(spark, folder, "lineitem")
+    li = files.spread(
+        view.table(spark, folder, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"
+        )
+    )
     first = F.concat_ws("|", "l_partkey", "l_suppkey")
     cells = F.when(
         F.col("l_linenumber") == 1, F.array(first, F.concat("l_returnflag", F.lit("\nx ")))
