@@ -15,6 +15,11 @@ WHITESPACE = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 
+# The same characters one by one, for trimming.
+BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    map(chr, range(0x2000, 0x200B))
+)
+
 # Language labels and the ratios that choose between them.
 ARABIC_SHARE = 0.7
 LATIN_SHARE = 0.1
@@ -25,11 +30,11 @@ SHORTEN_MARK = " …"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{WHITESPACE}]+|[{WHITESPACE}]+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def has_text(text: Column) -> Column:
-    return F.coalesce(text.rlike(rf"[^{WHITESPACE}]"), F.lit(False))
+    return F.coalesce(F.ltrim(text, F.lit(BLANKS)) != "", F.lit(False))
 
 
 def squash(text: Column) -> Column:

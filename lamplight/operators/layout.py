@@ -16,7 +16,8 @@ from lamplight.functions.providers import (
     NoLines,
     recognised_text,
 )
-from lamplight.operators.positions import tiled_positions
+from lamplight.operators.positions import running_offsets
+from lamplight.operators.rows import exploded
 from lamplight.settings import DEFAULTS, ExtractOptions
 
 # Item classes of the layout model and the kind each one becomes.
@@ -294,17 +295,19 @@ def flat_blocks(page_rows: DataFrame) -> DataFrame:
     """Blocks of all pages with one reading order per document.
 
     Unnumbered pages and blank blocks are skipped; a page with text but no blocks
-    counts as one text block.
+    counts as one text block. Pages are counted and offset, then exploded. Both uses
+    read ``page_rows``, so hand in a stored table when it was costly to make.
     """
     numbered = page_rows.where(F.coalesce("page_number", F.lit(0)) != 0)
-    whole = F.array(F.struct(F.lit(0).alias("reading_order"), F.lit("text").alias("type"), "content"))
-    shaped = F.transform(
-        "blocks", lambda b: F.struct(b["reading_order"], b["type"], b["content"])
+    shaped = F.transform("blocks", lambda b: F.struct(b["type"], b["content"]))
+    whole = F.array(F.struct(F.lit("text").alias("type"), "content"))
+    worded = F.filter(
+        F.when(F.size("blocks") > 0, shaped).otherwise(whole), lambda b: text.has_text(b["content"])
     )
-    exploded = numbered.select(
-        "doc_id", "page_number", F.posexplode(F.when(F.size("blocks") > 0, shaped).otherwise(whole)).alias("at", "b")
-    ).select("doc_id", "page_number", "at", "b.type", "b.content")
-    ordered = tiled_positions(
-        exploded, ["doc_id"], "page_number", "at", "reading_order", keep=text.has_text(F.col("content"))
+    pages_now = numbered.select("doc_id", "page_number", worded.alias("_blocks"))
+    sizes = pages_now.select("doc_id", "page_number", F.size("_blocks").cast("long").alias("n"))
+    offsets = running_offsets(sizes, ["doc_id"], ["page_number"])
+    rows = exploded(pages_now.join(offsets, ["doc_id", "page_number"]), F.col("_blocks"), "at", "b")
+    return rows.select(
+        "doc_id", "page_number", "b.type", "b.content", (F.col("offset") + F.col("at")).alias("reading_order")
     )
-    return ordered.withColumn("reading_order", F.col("reading_order") - 1).drop("at")

@@ -15,6 +15,8 @@ from lamplight.functions import ids, text
 from lamplight.functions.providers import Embedder
 from lamplight.functions.splitting import pack
 from lamplight.operators import catalog
+from lamplight.operators.rows import exploded
+from lamplight.session import small_or_not
 from lamplight.sources import extract, files
 from lamplight.sources.warehouse import Warehouse
 from lamplight.settings import DEFAULTS, ExtractOptions, Settings
@@ -36,7 +38,8 @@ def chunk_rows(packed: DataFrame) -> DataFrame:
     """One row per chunk: chunk_index counts over the whole document."""
     keep = [c for c in packed.columns if c not in ("blocks", "packed", "detected_languages")]
     language = extract.document_language(F.col("detected_languages"))
-    return packed.select(*keep, language.alias("language"), F.posexplode("packed").alias("chunk_index", "_c")).select(
+    rows = packed.select(*keep, language.alias("language"), "packed")
+    return exploded(rows, F.col("packed"), "chunk_index", "_c").select(
         *keep,
         "language",
         "chunk_index",
@@ -179,8 +182,10 @@ def ingest_documents(
     store.overwrite("reports", catalog.upsert_reports(reports, wanted, now))
 
     # Of several files of one name in a batch the last is ingested, as in sequence.
-    last = good.groupBy("report_id").agg(F.max("seq").alias("seq"))
-    good = good.join(last, ["report_id", "seq"])
+    # The earlier ones are few, so the documents themselves are not shuffled for it.
+    last = good.groupBy("report_id").agg(F.max("seq").alias("_last"))
+    earlier = good.select("report_id", "seq").join(last, "report_id").where("seq < _last").drop("_last")
+    good = good.join(small_or_not(earlier), ["report_id", "seq"], "left_anti")
     packed = packed_documents(good, items)
     rows = chunk_rows(packed.select("channel_id", "report_id", "blocks", "detected_languages", "packed"))
     table = chunk_table(embedded(rows, embedder), extractor, now)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 
 def build_session(app: str = "lamplight", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,3 +47,17 @@ def cut_lineage(df):
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def stored(df, name: str = "stage"):
+    """``df`` written to the shared folder and read back, so later uses read only the
+    columns they need instead of computing it again."""
+    folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def small_or_not(df, rows: int = 100_000):
+    """``df`` cut from its lineage, and marked for broadcast only when it was counted small."""
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept

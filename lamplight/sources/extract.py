@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lamplight import schemas
 from lamplight.functions import text
 from lamplight.operators.layout import document_language, item_kind
+from lamplight.operators.rows import exploded
 from lamplight.settings import DEFAULTS
 
 # Page length of sources that have no pages of their own.
@@ -108,7 +109,7 @@ def text_items(body: Column) -> Column:
 
 def item_rows(docs: DataFrame, items: Column) -> DataFrame:
     """One row per item with its sequence number in the document."""
-    return docs.select("*", F.posexplode(items).alias("seq", "_item")).select(
+    return exploded(docs, items, "seq", "_item").select(
         *docs.columns, "seq", "_item.class_name", "_item.text", "_item.page_number"
     )
 

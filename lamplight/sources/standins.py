@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lamplight.functions import ids, text
 from lamplight.functions.providers import LexicalEmbedder
 from lamplight.operators import catalog
+from lamplight.operators.rows import exploded
 from lamplight.sources import extract
 from lamplight.sources.files import spread
 
@@ -111,9 +112,7 @@ def line_chunks(spark: SparkSession, folder: str) -> DataFrame:
     docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"))
     named = docs.withColumns({"channel_id": channel_id(), "filename": _filename()})
     named = named.withColumn("report_id", catalog.report_id(F.col("channel_id"), F.col("filename")))
-    rows = named.select(
-        "doc_id", "channel_id", "report_id", F.posexplode(lines_of(F.col("text"))).alias("chunk_index", "content")
-    )
+    rows = exploded(named, lines_of(F.col("text")), "chunk_index", "content")
     return rows.select(
         (F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("id"),
         "channel_id",

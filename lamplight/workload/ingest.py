@@ -7,6 +7,7 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from lamplight.functions.providers import LexicalEmbedder
+from lamplight.operators.rows import exploded
 from lamplight.plans import ingest as plan, search
 from lamplight.session import shared_folder
 from lamplight.sources import extract, standins as view
@@ -94,7 +95,7 @@ _PACKED = """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY stop
 def _whole_chunks(packed):
     """Chunks that are not pieces of an over-long block, numbered among themselves."""
     whole = F.filter("packed", lambda c: c["piece"].isNull())
-    rows = packed.select("doc_id", F.posexplode(whole).alias("nth", "c"))
+    rows = exploded(packed.select("doc_id", whole.alias("whole")), F.col("whole"), "nth", "c")
     return rows.select(
         "doc_id", "nth", "c.content", F.array_join("c.block_types", ",").alias("block_types"), "c.section_title", "c.page_number"
     )

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from lamplight.functions import geometry, providers, text
 from lamplight.functions.splitting import split
 from lamplight.operators import layout as op
+from lamplight.operators.rows import exploded
+from lamplight.session import stored
 from lamplight.settings import ExtractOptions
 from lamplight.sources import extract, files, standins as view
 from lamplight.sources.standins import (
@@ -541,7 +543,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    rows = op.flat_blocks(op.pages(_blocks(spark, folder)))
+    rows = op.flat_blocks(stored(op.pages(_blocks(spark, folder)), "pages"))
     return rows.select("doc_id", "page_number", "type", "content", "reading_order")
 
 
@@ -624,8 +626,8 @@ def _(spark, folder):
 
 @query("chk_01_split_text")
 def _(spark, folder):
-    docs = _docs(spark, folder).select("doc_id", F.posexplode(split(F.col("text"))).alias("piece", "content"))
-    return docs
+    rows = exploded(_docs(spark, folder).select("doc_id", "text"), split(F.col("text")), "piece", "content")
+    return rows.drop("text")
 
 
 @query(
