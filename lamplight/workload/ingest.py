@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from uuid import uuid4
 
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from lamplight.functions.providers import LexicalEmbedder
 from lamplight.operators.rows import exploded
 from lamplight.plans import ingest as plan, search
 from lamplight.session import shared_folder
+from lamplight.settings import DEFAULTS
 from lamplight.sources import extract, standins as view
 from lamplight.sources.standins import (
     sql_has_text,
@@ -213,11 +215,12 @@ def _(spark, folder):
     return plan.ingest_message(plan.ingest_stats(_web(spark, folder), EMBEDDER, "html"), 12)
 
 
-def _store(spark, folder):
-    """The given documents ingested into a fresh warehouse, twice over."""
-    store = Warehouse(spark, f"{shared_folder(spark)}/warehouse-{uuid4().hex}")
+def _store(spark, folder, times=1):
+    """The given documents ingested into a fresh warehouse."""
+    root = f"{shared_folder(spark)}/warehouse-{uuid4().hex}"
+    store = Warehouse(spark, root, replace(DEFAULTS, report_buckets=8))
     docs = view.ingest_documents(spark, folder)
-    for _ in range(2):
+    for _ in range(times):
         plan.ingest_documents(
             store, docs, extract.text_items(F.col("text")), EMBEDDER, "plain-text", F.lit(NOW).cast("timestamp")
         )
@@ -234,7 +237,7 @@ def _store(spark, folder):
     ),
 )
 def _(spark, folder):
-    store = _store(spark, folder)
+    store = _store(spark, folder, times=2)
     chunked = store.read("report_chunks").groupBy("report_id").agg(F.count(F.lit(1)).alias("n"))
     rows = store.read("reports").join(chunked, F.col("id") == F.col("report_id"), "left")
     return rows.groupBy("channel_id").agg(
