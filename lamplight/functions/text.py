@@ -118,23 +118,35 @@ def table_cell(cell: Column) -> Column:
     return strip(F.replace(flat, F.lit("|"), F.lit("\\|")))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def table_markdown(grid: Column, limit: int = DEFAULTS.max_table_chars) -> Column:
     """A grid of strings as a Markdown table; the first row is the header."""
-    width = F.array_max(F.transform(grid, lambda row: F.size(row)))
 
-    def line(row: Column) -> Column:
-        padded = F.concat(row, F.array_repeat(F.lit(""), width - F.size(row)))
+    def line(cells: Column, width: Column) -> Column:
+        padded = F.concat(cells, F.array_repeat(F.lit(""), width - F.size(cells)))
         return F.concat(F.lit("| "), F.array_join(F.transform(padded, table_cell), " | "), F.lit(" |"))
 
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    rows = F.transform(grid, line)
-    body = F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
-    text = F.array_join(F.concat(F.slice(rows, 1, 1), F.array(rule), body), "\n")
-    cut = F.when(
-        F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(TRUNCATED_TABLE))
-    ).otherwise(text)
-    empty = grid.isNull() | (F.size(grid) == 0) | (F.coalesce(F.size(F.get(grid, F.lit(0))), F.lit(0)) == 0)
-    return F.when(empty, "").otherwise(cut)
+    def body(width: Column) -> Column:
+        rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+        return F.array_join(
+            F.transform(
+                grid,
+                lambda row, n: F.when(n == 0, F.concat(line(row, width), F.lit("\n"), rule)).otherwise(line(row, width)),
+            ),
+            "\n",
+        )
+
+    def cut(whole: Column) -> Column:
+        short = F.concat(F.substring(whole, 1, limit), F.lit(TRUNCATED_TABLE))
+        return F.when(F.length(whole) > limit, short).otherwise(whole)
+
+    width = F.array_max(F.transform(grid, lambda row: F.size(row)))
+    empty = F.coalesce(F.size(F.get(grid, F.lit(0))), F.lit(0)) <= 0
+    return F.when(empty, "").otherwise(let(let(width, body), cut))
 
 
 def figure_marker(caption: Column, legend: Column) -> Column:

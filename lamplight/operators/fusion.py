@@ -38,9 +38,10 @@ def hydrate(pool: DataFrame, chunks: DataFrame, bounded: bool) -> DataFrame:
     """Fetch the chunk columns of the pooled ids only.
 
     ``bounded`` says the pool holds one question, hence at most a few hundred rows,
-    and may be broadcast; otherwise the planner picks the join from real sizes.
+    and may be broadcast; otherwise the planner picks the join from real sizes. The
+    vectors have served their purpose and are not read again.
     """
-    return chunks.join(F.broadcast(pool) if bounded else pool, "id")
+    return chunks.drop("embedding", "sparse_embedding").join(F.broadcast(pool) if bounded else pool, "id")
 
 
 def rerank(rows: DataFrame, reranker: Reranker | None, top_k: int, question: Column | None = None) -> DataFrame:

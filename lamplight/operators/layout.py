@@ -154,7 +154,7 @@ def blocks(
         ratio, geometry.crop_box(box, width, height), column("pixel_stddev", "double")
     )
     image = column("image", "binary")
-    seen = F.when(readable, recognised_text(reader.lines(image)))
+    seen = F.col("_seen")
     grid = column("table_data", "array<array<string>>")
     packed = F.array_join(F.transform(grid, lambda r: F.array_join(r, CELL_MARK, "")), ROW_MARK)
     own = F.when(
@@ -166,7 +166,8 @@ def blocks(
         .when((kind == "figure") & F.lit(options.extract_figures), F.coalesce(seen, F.lit("")))
     )
     captioned = F.lit(options.figure_captioning) & (ratio >= DEFAULTS.figure_caption_min_area_ratio)
-    staged = found.withColumn("_clean", text.nfkc(raw)).withColumns(
+    staged = found.withColumn("_seen", F.when(readable, recognised_text(reader.lines(image))))
+    staged = staged.withColumn("_raw", raw).withColumn("_clean", text.nfkc(F.col("_raw"))).withColumns(
         {
             "table_data": F.when(
                 kind == "table",
@@ -192,7 +193,7 @@ def blocks(
         staged.withColumn("content", F.nullif(content, F.lit("")))
         .withColumn("legend", F.when(kind == "figure", F.col("_clean")))
         .withColumnRenamed("kind", "type")
-        .drop("_clean")
+        .drop("_clean", "_raw", "_seen")
     )
 
 

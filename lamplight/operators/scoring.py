@@ -25,6 +25,9 @@ QUESTIONS_PER_PASS = 256
 # Cells of the dense score matrix per slice of a batch (64 MB of doubles).
 CELLS_PER_SLICE = 8_000_000
 
+# Parts in which the tasks' lists are merged before the last merge.
+MERGE_FAN = 32
+
 # Fixed value: scores are compared at nine digits, so engines agree on ties.
 SCORE_DIGITS = 9
 
@@ -198,6 +201,19 @@ def candidates(
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    """Merge the tasks' lists: rank by (score, id) and keep ``k`` per question and arm."""
-    order = Window.partitionBy("question_id", "arm").orderBy("score", "id")
-    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    """Merge the tasks' lists: rank by (score, id) and keep ``k`` per question and arm.
+
+    A scan of very many tasks leaves very many short lists, so they are merged in
+    ``MERGE_FAN`` parts first and the parts' winners after that.
+    """
+    best_first = [F.col("score"), F.col("id")]
+    part = F.pmod(F.hash("id"), F.lit(MERGE_FAN))
+    parts = Window.partitionBy("question_id", "arm", "_part").orderBy(*best_first)
+    whole = Window.partitionBy("question_id", "arm").orderBy(*best_first)
+    merged = (
+        found.withColumn("_part", part)
+        .withColumn("_rank", F.row_number().over(parts))
+        .where(F.col("_rank") <= k)
+        .drop("_part", "_rank")
+    )
+    return merged.withColumn("rank", F.row_number().over(whole).cast("long")).where(F.col("rank") <= k)

@@ -224,7 +224,8 @@ def test_channel_filter_prunes_folders(spark, chunks, tmp_path):
 
 def test_only_task_winners_are_shuffled(chunks):
     plan = plan_of(scoring.ranked(scoring.candidates(search.in_scope(chunks, "a"), [QUESTION], 5), 5))
-    assert plan.index("WindowGroupLimit") < plan.index("MapInArrow")
+    assert plan.index("Exchange") < plan.rindex("WindowGroupLimit") < plan.index("MapInArrow")
+    assert "Exchange" not in plan[plan.rindex("WindowGroupLimit") : plan.index("MapInArrow")]
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
