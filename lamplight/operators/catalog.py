@@ -317,5 +317,5 @@ def batch_summary(outcomes: DataFrame) -> DataFrame:
 
 def first_failure(outcomes: DataFrame) -> DataFrame:
     """What a run that stops on the first error reports: rows up to that error."""
-    stop = outcomes.where(F.col("status") == "failed").agg(F.min("seq").alias("_stop"))
-    return outcomes.join(F.broadcast(stop), (F.col("_stop").isNull()) | (F.col("seq") <= F.col("_stop"))).drop("_stop")
+    stop = outcomes.where(F.col("status") == "failed").agg(F.min("seq")).first()[0]
+    return outcomes if stop is None else outcomes.where(F.col("seq") <= stop)

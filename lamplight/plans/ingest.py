@@ -16,7 +16,7 @@ from lamplight.functions.providers import Embedder
 from lamplight.functions.splitting import pack
 from lamplight.operators import catalog
 from lamplight.operators.rows import exploded
-from lamplight.session import small_or_not
+from lamplight.session import small_or_not, stored
 from lamplight.sources import extract, files
 from lamplight.sources.warehouse import Warehouse
 from lamplight.settings import DEFAULTS, ExtractOptions, Settings
@@ -186,10 +186,13 @@ def ingest_documents(
     last = good.groupBy("report_id").agg(F.max("seq").alias("_last"))
     earlier = good.select("report_id", "seq").join(last, "report_id").where("seq < _last").drop("_last")
     good = good.join(small_or_not(earlier), ["report_id", "seq"], "left_anti")
-    packed = packed_documents(good, items)
-    rows = chunk_rows(packed.select("channel_id", "report_id", "blocks", "detected_languages", "packed"))
+    # Extraction is the costly step: its result is written once, and the chunks, the
+    # replaced reports and the statistics read the columns they need from there.
+    kept = ["channel_id", "report_id", "filename", "blocks", "detected_languages", "packed"]
+    packed = stored(packed_documents(good, items).select(*kept), "packed")
+    rows = chunk_rows(packed.drop("filename"))
     table = chunk_table(embedded(rows, embedder), extractor, now)
-    deleted = store.replace_chunks(table, good.select("channel_id", "report_id"))
+    deleted = store.replace_chunks(table, packed.select("channel_id", "report_id"))
     stats = ingest_stats(packed, embedder, extractor, store.settings)
     return IngestResult(stats, rejects, deleted)
 

@@ -233,3 +233,12 @@ def test_neighbour_plan_limits_before_the_shuffle(chunks):
     hits = chunks.limit(3).withColumns({"question_id": F.lit(0), "primary_rank": F.lit(1)})
     plan = plan_of(neighbours.neighbour_ids(hits, chunks, 1, bounded=True))
     assert plan.count("WindowGroupLimit") == 2 and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_both_neighbour_ways_agree(chunks, n):
+    hits = chunks.where("id in ('c04', 'c08', 'c16', 'c20', 'c47')").withColumn("question_id", F.lit(0))
+    shape = lambda bounded: sorted(
+        (r["parent_id"], r["offset"], r["id"]) for r in neighbours.neighbour_ids(hits, chunks, n, bounded).collect()
+    )
+    assert shape(True) == shape(False) != []
