@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lamplight import schemas
 from lamplight.functions import ids
 from lamplight.operators import catalog
-from lamplight.session import cut_lineage
+from lamplight.session import cut_lineage, stored
 from lamplight.settings import DEFAULTS, Settings
 
 WHOLE = "part"
@@ -100,12 +100,12 @@ class Warehouse:
         loses its old ones, even when that empties a partition.
         """
         keys = self._keys("report_chunks")
-        incoming = cut_lineage(self.with_bucket(incoming))
+        incoming = stored(self.with_bucket(incoming), "incoming")
         self.assert_unique("report_chunks", incoming)
         gone = cut_lineage(self.with_bucket(replaced.select("channel_id", "report_id").distinct()))
-        stored = self.read("report_chunks")
+        current = self.read("report_chunks")
         touched = gone.select(*keys).distinct()
-        affected = stored.join(touched, keys, "left_semi")
+        affected = current.join(touched, keys, "left_semi")
         deleted = cut_lineage(catalog.chunks_per_report(affected, gone))
         after = catalog.replace_chunks(affected, incoming, gone)
         filled = cut_lineage(after.select(*keys).distinct())

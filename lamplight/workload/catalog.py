@@ -690,3 +690,16 @@ def _(spark, folder):
     pairs = text.key_values(items)
     listed = F.array_sort(F.transform(F.map_entries(pairs), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return docs.select("doc_id", F.array_join(listed, ";").alias("pairs"))
+
+
+@query(
+    "flt_04_position_range",
+    with_views(
+        ["chunks"],
+        """SELECT id, pos FROM (SELECT id, row_number() OVER (PARTITION BY report_id ORDER BY page_number, chunk_index) AS pos FROM chunks)
+        WHERE pos BETWEEN 3 AND 6""",
+    ),
+)
+def _(spark, folder):
+    placed = positions.reading_positions(view.line_chunks(spark, folder))
+    return placed.where(F.col("pos").between(3, 6)).select("id", "pos")

@@ -81,3 +81,17 @@ def _(spark, folder):
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "events",
         F.round("total_latency", 4).alias("total_latency"),
     )
+
+
+@query(
+    "fn_28_json_fields",
+    """SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k,
+       coalesce(json_extract_string(props, '$.missing'), 'none') AS missing FROM events""",
+)
+def _(spark, folder):
+    bag = F.from_json("props", "map<string,string>")
+    return view.table(spark, folder, "events").select(
+        "event_id",
+        F.coalesce(bag["k"].cast("long"), F.lit(0)).alias("k"),
+        F.coalesce(bag["missing"], F.lit("none")).alias("missing"),
+    )
