@@ -96,7 +96,8 @@ def _(spark, folder):
     """WITH m AS (SELECT a.vec_id, list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])),
               lambda p: 0.7::DOUBLE * p[1] + 0.3::DOUBLE * p[2]) AS v
               FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
-    SELECT vec_id, round(v[1] / sqrt(list_inner_product(v, v)), 5) AS first, round(v[64] / sqrt(list_inner_product(v, v)), 5) AS last FROM m""",
+    SELECT vec_id, round(CAST(CAST(v[1] / sqrt(list_inner_product(v, v)) AS FLOAT) AS DOUBLE), 5) AS first,
+           round(CAST(CAST(v[64] / sqrt(list_inner_product(v, v)) AS FLOAT) AS DOUBLE), 5) AS last FROM m""",
 )
 def _(spark, folder):
     e = view.table(spark, folder, "embeddings")

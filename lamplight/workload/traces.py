@@ -17,13 +17,15 @@ DELAY = "1 hour"
 
 
 def _latency_sql(key: str) -> str:
-    return f"""SELECT {key}, count(*) AS events, round(avg(value), 4) AS mean_latency, round(quantile_cont(value, 0.5), 4) AS p50,
-        round(quantile_cont(value, 0.95), 4) AS p95, max(value) AS max_latency FROM events GROUP BY {key}"""
+    return f"""SELECT {key}, count(*) AS events, round(sum(value), 2) AS total_latency, round(quantile_cont(value, 0.5), 6) AS p50,
+        round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS max_latency FROM events GROUP BY {key}"""
 
 
 def _latency(spark, folder, key):
     rows = traces.latency_by(view.table(spark, folder, "events"), key)
-    return rows.withColumns({c: F.round(c, 4) for c in ("mean_latency", "p50", "p95")})
+    # Totals have two digits, so unlike means they never sit on a rounding edge.
+    total = F.round(F.col("mean_latency") * F.col("events"), 2).alias("total_latency")
+    return rows.select(key, "events", total, *[F.round(c, 6).alias(c) for c in ("p50", "p95")], "max_latency")
 
 
 @query("agg_16_latency_by_user", _latency_sql("user_id"))
