@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lamplight.functions import ids, text
 from lamplight.functions.providers import Embedder
 from lamplight.functions.splitting import pack
-from lamplight.operators import catalog
+from lamplight.operators import catalog, layout
 from lamplight.operators.rows import exploded
 from lamplight.session import small_or_not, stored
 from lamplight.sources import extract, files
@@ -37,7 +37,7 @@ def packed_documents(docs: DataFrame, items: Column) -> DataFrame:
 def chunk_rows(packed: DataFrame) -> DataFrame:
     """One row per chunk: chunk_index counts over the whole document."""
     keep = [c for c in packed.columns if c not in ("blocks", "packed", "detected_languages")]
-    language = extract.document_language(F.col("detected_languages"))
+    language = layout.document_language(F.col("detected_languages"))
     rows = packed.select(*keep, language.alias("language"), "packed")
     return exploded(rows, F.col("packed"), "chunk_index", "_c").select(
         *keep,
@@ -108,7 +108,7 @@ def ingest_stats(
         markdown.alias("markdown_key"),
         meta.alias("metadata_key"),
         "detected_languages",
-        extract.document_language(F.col("detected_languages")).alias("language"),
+        layout.document_language(F.col("detected_languages")).alias("language"),
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lamplight import schemas
 from lamplight.functions import text
-from lamplight.operators.layout import document_language, item_kind
+from lamplight.operators.layout import item_kind
 from lamplight.operators.rows import exploded
 from lamplight.settings import DEFAULTS
 

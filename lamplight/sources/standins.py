@@ -75,6 +75,11 @@ def channel_id(lang: Column | None = None) -> Column:
     return ids.stable_uuid("channel", F.col("lang") if lang is None else lang)
 
 
+def created_at(seconds: Column) -> Column:
+    """That many seconds into 2024, by the clock of the session's own time zone."""
+    return F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=seconds)
+
+
 def channels(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return docs.groupBy("lang").agg(F.min("doc_id").alias("first")).select(
@@ -82,7 +87,7 @@ def channels(spark: SparkSession, folder: str) -> DataFrame:
         F.col("lang").alias("name"),
         F.concat(F.lit("Documents in "), "lang").alias("description"),
         F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"),
-        F.timestamp_seconds(F.lit(EPOCH) + F.col("first")).alias("created_at"),
+        created_at(F.col("first")).alias("created_at"),
     )
 
 
@@ -102,7 +107,7 @@ def reports(spark: SparkSession, folder: str) -> DataFrame:
         "filename",
         catalog.default_title(title, text.file_stem(F.col("filename"))).alias("title"),
         F.create_map(F.lit("source"), F.col("source")).alias("metadata"),
-        F.timestamp_seconds(F.lit(EPOCH) + F.col("doc_id")).alias("created_at"),
+        created_at(F.col("doc_id")).alias("created_at"),
         "doc_id",
     )
 

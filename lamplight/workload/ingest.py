@@ -8,6 +8,7 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from lamplight.functions.providers import LexicalEmbedder
+from lamplight.operators.layout import document_language
 from lamplight.operators.rows import exploded
 from lamplight.plans import ingest as plan, search
 from lamplight.session import shared_folder
@@ -171,7 +172,7 @@ def _(spark, folder):
     rows = extract.with_blocks(spread(view.table(spark, folder, "documents").select("doc_id", "text")), extract.text_items(F.col("text")))
     found = rows.select("doc_id", extract.languages_of_blocks(F.col("blocks")).alias("found")).where("size(found) > 0")
     return found.select(
-        "doc_id", extract.document_language(F.col("found")).alias("language"), F.size("found").alias("languages")
+        "doc_id", document_language(F.col("found")).alias("language"), F.size("found").alias("languages")
     )
 
 

@@ -617,7 +617,7 @@ def _(spark, folder):
     docs = extract.with_blocks(view.html_documents(spark, folder), extract.html_items(F.col("html")))
     rows = docs.select("doc_id", extract.languages_of_blocks(F.col("blocks")).alias("found"))
     return rows.select(
-        "doc_id", extract.document_language(F.col("found")).alias("language"), F.array_join("found", ",").alias("detected")
+        "doc_id", op.document_language(F.col("found")).alias("language"), F.array_join("found", ",").alias("detected")
     )
 
 
