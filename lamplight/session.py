@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import SparkSession, functions as F
@@ -25,6 +28,23 @@ def build_session(app: str = "lamplight", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, so that tasks find it wherever they run.
+
+    The archive is the driver's own file; Spark's file server hands it on.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_lamplight_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="lamplight-ship-"), "lamplight.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(archive)
+    context._lamplight_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, as named in ``spark.checkpoint.dir``.
 
