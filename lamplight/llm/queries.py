@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamplight.llm import pii, sharding
+from lamplight.llm import html_text, pii, secret_scan, sharding, toxicity
 from lamplight.llm.tables import table
 
 QUERIES: dict = {}
@@ -60,3 +60,32 @@ def _(spark, folder):
         "doc_id", *map(count, pii.BASE), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"),
         F.coalesce(F.array_max(F.transform("pii", lambda s: s["score"])), F.lit(0.0)).alias("highest_score"),
     )
+
+
+@query("op7_toxicity")
+def _(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").filter(~toxicity.held_out("doc_id"))
+    model = toxicity.train(docs, labels)
+    scored = docs.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), toxicity.score(model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op10_secrets")
+def _(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", secret_scan.find(secret_scan.train(docs)).alias("secrets"))
+    base = F.filter("secrets", lambda s: s["rank"] < len(secret_scan.BASE))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, secret_scan.BASE), F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(F.col("secrets")).alias("spans"), count("random"),
+    )
+
+
+@query("op4_html_text")
+def _(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    weights = html_text.train(pages)
+    texts = pages.select("page_id", "url", html_text.main_text(weights).alias("text"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
