@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamplight.llm import html_text, pii, secret_scan, sharding, toxicity
+from lamplight.llm import decontamination, html_text, packing, pii, secret_scan, sharding, simhash, toxicity, vector_search
 from lamplight.llm.tables import table
 
 QUERIES: dict = {}
@@ -89,3 +89,34 @@ def _(spark, folder):
     weights = html_text.train(pages)
     texts = pages.select("page_id", "url", html_text.main_text(weights).alias("text"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op6_simhash")
+def _(spark, folder):
+    rows = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
+
+
+@query("op1_packing")
+def _(spark, folder):
+    return packing.sequences(table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+@query("op8_decontamination")
+def _(spark, folder):
+    return decontamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+SEARCH_SQL = """WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
+@query("op5_vector_search", SEARCH_SQL)
+def _(spark, folder):
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return vector_search.top_k(rows.filter(F.pmod("vec_id", F.lit(100)) == 0), rows, 10)
