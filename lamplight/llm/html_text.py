@@ -5,7 +5,7 @@ tags never score positive; the weights are log-odds counted on labelled pages. A
 of the highest sum, and its blocks, without menus, forms, adverts and the like, are the text.
 
 A page labels itself where it marks its article with the ``article`` element: what lies inside is content, what lies
-outside is not. Training looks at no more than ``sample`` such pages.
+outside is not. Training looks at a sample of pages.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from lamplight.llm.tables import text_of
+from lamplight.llm.tables import sampled, text_of
 
 SAMPLE = 1_000
 #: What a tag costs at least; and at most inside an article, so that lists and links do not end it.
@@ -198,15 +198,16 @@ def extract(page: str | None, weights: Weights = PLAIN) -> str:
     return "\n".join(blocks)
 
 
-def train(pages: DataFrame, page: str = "html", sample: int = SAMPLE) -> Weights:
-    """Weights from at most ``sample`` pages with an article element (smallest hash first); ``PLAIN`` if there are none."""
+def train(pages: DataFrame, page: str = "html", id: str = "page_id", sample: int = SAMPLE) -> Weights:
+    """Weights from those of about ``sample`` pages (by a hash of the id) that have an article element; ``PLAIN`` if
+    there are none."""
 
     @pandas_udf("array<struct<kind:string,name:string,content:boolean,n:long>>")
     def counted(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"kind": k, "name": v, "content": c, "n": n} for (k, v, c), n in count(t).items()] for t in texts])
 
     body = F.col(page)
-    chosen = pages.select(body).filter(body.contains("<article")).orderBy(F.xxhash64(body), body).limit(sample)
+    chosen = sampled(pages, sample, id).filter(body.contains("<article"))
     rows = chosen.select(F.explode(counted(body)).alias("c")).groupBy("c.kind", "c.name", "c.content").agg(F.sum("c.n").alias("n"))
     seen = Counter({(r.kind, r.name, r.content): r.n for r in rows.collect()})
     return weigh(seen) if seen else PLAIN

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from lamplight.llm.tables import text_of
+from lamplight.llm.tables import sampled, text_of
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "random")
@@ -93,8 +93,8 @@ def train_on(random: list[str], ordinary: list[str], seed: int = 7) -> Model:
     return Model(ratio, float(max((np.mean(high) + np.mean(low)) / 2, np.quantile(low, 0.999))))
 
 
-def training_strings(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """Strings of at most ``sample`` documents (smallest hash of the text first): caught by the patterns, and the rest."""
+def training_strings(docs: DataFrame, id: str = "doc_id", sample: int = SAMPLE) -> tuple[list[str], list[str]]:
+    """Strings of about ``sample`` documents (by a hash of the id): caught by the patterns, and the rest."""
 
     @pandas_udf("struct<caught:array<string>,plain:array<string>>")
     def cut(texts: pd.Series) -> pd.DataFrame:
@@ -107,13 +107,13 @@ def training_strings(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str],
             rows.append((caught[:20], WORD.findall(text)[:200]))
         return pd.DataFrame(rows, columns=["caught", "plain"])
 
-    chosen = docs.select(text_of("text").alias("text")).orderBy(F.xxhash64("text"), "text").limit(sample)
-    rows = chosen.select(cut("text").alias("c")).select("c.*").collect()
+    chosen = sampled(docs, sample, id)
+    rows = chosen.select(cut(text_of("text")).alias("c")).select("c.*").limit(2 * sample).collect()
     return sorted(s for r in rows for s in r.caught), sorted(s for r in rows for s in r.plain)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    return train_on(*training_strings(docs, sample))
+def train(docs: DataFrame, id: str = "doc_id", sample: int = SAMPLE) -> Model:
+    return train_on(*training_strings(docs, id, sample))
 
 
 def find(model: Model, text: str | Column = "text") -> Column:

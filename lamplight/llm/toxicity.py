@@ -6,8 +6,8 @@ toxic documents say. A text is lower-cased and cut into overlapping windows; eac
 dictionary, and the bytes saved by the toxic one are its evidence. The threshold on a window's saving is calibrated on
 ordinary training text, and a logistic model turns the evidence of a text's windows into a score.
 
-Training looks at no more than ``sample`` labelled rows of each class (smallest hash of the id first) and no more than
-``SAMPLE_WINDOWS`` evenly spaced stretches of each. Scoring reads whole texts.
+Training looks at about ``sample`` labelled rows of each class (by a hash of the id) and no more than ``SAMPLE_WINDOWS``
+evenly spaced stretches of each. Scoring reads whole texts.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from lamplight.llm.tables import text_of
+from lamplight.llm.tables import sampled, text_of
 
 WINDOW, STEP = 96, 72
 SAMPLE = 4_000
@@ -151,17 +151,19 @@ def train_on(toxic: list[str], ordinary: list[str]) -> Model:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """At most ``sample`` texts of each class, each clipped to evenly spaced stretches. ``labels``: doc_id, toxic."""
-    order = F.xxhash64("doc_id")
+    """About ``sample`` texts of each class (by a hash of the id), each clipped to evenly spaced stretches.
+
+    ``labels``: doc_id, toxic. Rows with a null in either are passed over; an id labelled twice counts once.
+    """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic").dropDuplicates(["doc_id"])
     ids = None
     for kind in (1, 0):
-        part = known.filter(F.col("toxic") == kind).orderBy(order, "doc_id").limit(sample)
+        part = sampled(known.filter(F.col("toxic") == kind), sample, "doc_id")
         ids = part if ids is None else ids.unionByName(part)
     body, size = F.col("text"), F.length("text")
     gap = F.greatest(F.lit(SAMPLE_CHARS), (size / SAMPLE_WINDOWS).cast("int"))
     stretches = F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), gap), lambda at: body.substr(at + 1, F.lit(SAMPLE_CHARS)))
-    # The broadcast side has no more than two samples of rows.
+    # The broadcast side has about two samples of rows.
     chosen = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(ids), "doc_id")
     rows = chosen.select("doc_id", "toxic", F.array_join(stretches, " ").alias("text")).orderBy("doc_id", "text").limit(4 * sample).collect()
     return [r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0]
