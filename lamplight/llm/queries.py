@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamplight.llm import decontamination, html_text, packing, pii, secret_scan, sharding, simhash, toxicity, vector_search
+from lamplight.llm import decontamination, html_text, packing, pii, repeats, secret_scan, sharding, simhash, toxicity, vector_search
 from lamplight.llm.tables import table
 
 QUERIES: dict = {}
@@ -120,3 +120,10 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10"""
 def _(spark, folder):
     rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return vector_search.top_k(rows.filter(F.pmod("vec_id", F.lit(100)) == 0), rows, 10)
+
+
+@query("op3_repeats")
+def _(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    done = repeats.remove_repeats(docs, keep_first=False, with_kept=False)
+    return done.select("doc_id", *[f"repeats.{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
