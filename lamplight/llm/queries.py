@@ -127,3 +127,10 @@ def _(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     done = repeats.remove_repeats(docs, keep_first=False, with_kept=False)
     return done.select("doc_id", *[f"repeats.{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
+
+
+@query("pipeline")
+def _(spark, folder):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)

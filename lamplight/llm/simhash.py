@@ -168,11 +168,35 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     other but is never the smallest, unless all ids of a component are null. An empty table gives an empty one.
     """
     prints = cut_lineage(docs.select(F.col(id), fingerprint(text).alias("fp")))
+    reached = _reached(prints, id)
+    smallest = reached.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = reached.select("fp", "component").join(smallest, "component").select("fp", "component_id")
+    return prints.join(classes, "fp").select(id, "fp", "component_id")
+
+
+def _reached(prints: DataFrame, id: str) -> DataFrame:
+    """(fp, least, component): of each distinct fingerprint the least id that has it, and its component."""
     distinct = prints.groupBy("fp").agg(F.min(id).alias("least"))
     joined = components(links(distinct.select("fp")))
-    reached = distinct.join(joined, distinct["fp"] == joined["node"], "left").select(
+    return distinct.join(joined, distinct["fp"] == joined["node"], "left").select(
         distinct["fp"], "least", F.coalesce("component", distinct["fp"]).alias("component")
     )
-    smallest = reached.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = reached.select("fp", "component").join(smallest, "component").select("fp", "component_id")
-    return prints.join(classes, "fp").select(id, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component left: the one of the smallest id (a null id only where all are null).
+
+    Of rows that repeat that id and fingerprint one stays, any of them.
+    """
+    print_ = f"{text}__fp"
+    if print_ in docs.columns:
+        raise ValueError(f"a column {print_} is there already")
+    marked = docs.withColumn(print_, fingerprint(text))
+    reached = _reached(cut_lineage(marked.select(F.col(id), F.col(print_).alias("fp"))), id)
+    first = F.struct(F.col("least").isNull().alias("none"), "least", "fp")
+    kept = reached.groupBy("component").agg(F.min(first).alias("first")).select(
+        F.col("first.fp").alias("kept_fp"), F.col("first.least").alias("kept_id")
+    )
+    match = (marked[print_] == kept["kept_fp"]) & marked[id].eqNullSafe(kept["kept_id"])
+    # The id is part of the key, so a group of copies is spread over all tasks.
+    return marked.join(kept, match, "left_semi").dropDuplicates([print_, id]).select(*docs.columns)
