@@ -13,53 +13,75 @@ from itertools import chain
 
 import numpy as np
 
-KEPT = 400_000
+KEPT = 1_000_000
 #: A word of Latin letters with one mark after it at most: its letters and the mark are tokens of their own, and case
 #: is dropped letter by letter. Everything else is encoded as it stands.
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-#: What stands for no token, and the stretch to which the tokenizer gives special ids only whole.
-_EMPTY = {"": b""}
+_TOGETHER = 64
 
 
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.encode = Tokenizer.from_file(path).encode_batch_fast
-        self.known: dict[str, bytes] = dict(_EMPTY)
-        self.words: dict[str, bytes] = dict(_EMPTY)
+        # The same model for words that are lower-cased and cut apart already.
+        bare = Tokenizer.from_file(path)
+        bare.normalizer = normalizers.Sequence([])
+        bare.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        self.encode_words = bare.encode_batch_fast
+        # A word's last token, and no other, carries the mark of a word's end.
+        ending = bare.get_vocab()
+        self.ends = np.zeros(max(ending.values()) + 1, bool)
+        self.ends[[i for token, i in ending.items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}
 
-    def _learn(self, stretches: list[str], into: dict[str, bytes]) -> None:
-        for text, coded in zip(stretches, self.encode(stretches, add_special_tokens=False)):
-            into[text] = array("I", coded.ids).tobytes()
+    def _learn_words(self, words: list[str]) -> None:
+        joined = [" ".join(words[i : i + _TOGETHER]) for i in range(0, len(words), _TOGETHER)]
+        coded = self.encode_words(joined, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(c.ids for c in coded), "<u4")
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(stops) != len(words):
+            raise RuntimeError("a word's tokens don't end with one end mark")
+        data, start = ids.tobytes(), 0
+        for word, stop in zip(words, stops.tolist()):
+            self.words[word] = data[start:stop]
+            start = stop
 
     def _meet(self, fresh: set[str]) -> None:
-        simple, odd = {}, []
+        simple, letters, marks, odd = [], [], [], []
         for stretch in fresh:
             m = _SIMPLE.fullmatch(stretch)
             if m:
-                simple[stretch] = m[1].lower(), m[2]
+                simple.append(stretch)
+                letters.append(m[1].lower())
+                marks.append(m[2])
             else:
                 odd.append(stretch)
-        if len(self.known) + len(fresh) > KEPT:
-            self.known = dict(_EMPTY)
-        if len(self.words) > KEPT:
-            self.words = dict(_EMPTY)
-        words = self.words
-        self._learn(list(set(chain.from_iterable(simple.values())) - words.keys()), words)
-        self._learn(odd, self.known)
-        for stretch, (letters, mark) in simple.items():
-            self.known[stretch] = words[letters] + words[mark]
+        words, known = self.words, self.known
+        new = {*letters, *marks} - words.keys()
+        if len(words) + len(new) > KEPT:
+            self.words = words = {"": b""}
+            new = {*letters, *marks} - words.keys()
+        self._learn_words(list(new))
+        for stretch, a, b in zip(simple, letters, marks):
+            known[stretch] = words[a] + words[b]
+        for stretch, coded in zip(odd, self.encode(odd, add_special_tokens=False)):
+            known[stretch] = array("I", coded.ids).tobytes()
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Per text its ids, unsigned 32-bit."""
         cut = [text.replace("\n", " ").split(" ") for text in texts]
-        fresh = set(chain.from_iterable(cut)) - self.known.keys()
+        needed = set(chain.from_iterable(cut))
+        fresh = needed - self.known.keys()
+        if len(self.known) + len(fresh) > KEPT:
+            self.known = {s: self.known[s] for s in needed - fresh} | {"": b""}
         if fresh:
             self._meet(fresh)
-            if len(self.known) < len(fresh):  # forgotten to make room: what this batch needs besides
-                self._meet(set(chain.from_iterable(cut)) - self.known.keys())
         known = self.known.__getitem__
         return [np.frombuffer(b"".join(map(known, stretches)), "<u4") for stretches in cut]
 
