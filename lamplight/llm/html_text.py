@@ -48,9 +48,10 @@ OUT_ROLES = frozenset("alert banner complementary contentinfo dialog form menu m
 CONTAINERS = frozenset("article main".split())
 
 _PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*\Z|[^<]+|<",
     re.S,
 )
+_NO_TEXT = re.compile("<[!?a-zA-Z]|</[a-zA-Z]")  # comments, declarations and tags that the page's end cuts off
 _MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PART = re.compile(r"[a-z]+")
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
@@ -86,7 +87,7 @@ def pieces(page: str):
         name = m[2] or m[5]
         if name is None:
             piece = m[0]
-            if not piece.startswith(("<!", "<?")):
+            if not _NO_TEXT.match(piece):
                 yield "text", piece, holders[-1] if holders else "", outs > 0
             continue
         name, closing, marks = name.lower(), m[1] or m[4], m[3] or m[6] or ""

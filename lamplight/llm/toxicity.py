@@ -61,14 +61,15 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 def evidence_of(texts, ordinary: bytes, toxic: bytes, saving: int) -> np.ndarray:
     """Per text: largest saving of a window, number of windows that save ``saving`` or more, number of windows."""
     plain, rude = _compressor(ordinary).compress, _compressor(toxic).compress
-    # What both dictionaries end with goes before each window: a block that saves little is else stored as it is.
+    # What both dictionaries end with goes around each window: a block that saves little is else stored as it is, and
+    # no match is looked for in a block's last bytes.
     lead = ordinary[-LEAD:]
     out = np.zeros((len(texts), 3))
     for row, text in enumerate(texts):
         data = b" " + (text or "").lower().encode("utf-8", "replace") + b" "
         most = hits = count = 0
         for at in range(0, max(1, len(data) - (WINDOW - STEP)), STEP):
-            window = lead + data[at : at + WINDOW]
+            window = lead + data[at : at + WINDOW] + lead
             saved = len(plain(window)) - len(rude(window))
             count += 1
             if saved > most:

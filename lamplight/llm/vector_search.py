@@ -77,8 +77,10 @@ def best_of(
                 mass = query_rest[step][q] * cand_rest[step][alive] * (1 + 1e-6) + 1
                 rough = sums.astype(float)
                 bar = np.partition(rough - mass, len(alive) - k)[len(alive) - k]
+                # Scores beyond a long are equal once they are cut to it.
+                bar = min(bar, float(MOST) * (1 - 1e-6))
                 keep = rough + mass >= bar
-                if not keep.all():
+                if bar > float(LEAST) * (1 - 1e-6) and not keep.all():
                     alive, sums = alive[keep], sums[keep]
         if kind is object:
             sums = np.array([min(max(int(x), LEAST), MOST) for x in sums], object)
