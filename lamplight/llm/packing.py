@@ -26,7 +26,7 @@ from lamplight.llm.tokens import encoder
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
-WAITING = 2_048
+WAITING = 512
 
 PIECES = (
     "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment long,"

@@ -12,8 +12,10 @@ windows have equal anchors at equal places, and a document falls into segments,
    positions in suffix order give each window's longest previous factor, the match with an earlier place, so that
    the first copy can be told from later ones.
 
-An anchor with more than ``GROUP`` different segments is not gathered: its windows are counted one by one, by hash and
-with partial sums, so that a passage which a third of all documents hold is spread over all tasks.
+An anchor with more than ``GROUP`` different segments is not gathered. Its segments are sorted over all tasks, once by what
+follows the anchor and once by what precedes it, read backwards. In either order the neighbours of a segment share most
+with it: what they share is marked at once, and windows that reach beyond are known to occur once. The windows
+that are left are counted one by one, by hash and with partial sums.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from lamplight.llm.hashing import Hashes, mixed
 from lamplight.llm.tables import text_of
 from lamplight.session import stored
 
@@ -35,54 +38,9 @@ CHUNK = 1 << 20
 #: Texts are compared in suffix arrays of about so many bytes.
 COMPARED = 1 << 19
 
-_rng = np.random.default_rng(20)
-_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = np.uint64((1 << 24) - 1)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Powers:
-    """Powers of the base and of its inverse modulo 2 ** 64, as many as were needed so far."""
-
-    def __init__(self):
-        self.up = self.down = np.zeros(0, np.uint64)
-
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            both = []
-            for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-                powers = np.full(size, base, np.uint64)
-                powers[0] = 1
-                both.append(np.multiply.accumulate(powers))
-            self.up, self.down = both
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
-
-
-class Hashes:
-    """Hashes of substrings of one byte string in constant time each."""
-
-    def __init__(self, data: np.ndarray):
-        up, self.down = _POWERS.of(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_CODE[data] * up[: len(data)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[start]) * self.down[start])
-
-    def all_of(self, length: int) -> np.ndarray:
-        return _mixed((self.sums[length:] - self.sums[:-length]) * self.down[: len(self.sums) - length])
-
-
 def _least(key: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of ``width`` neighbours."""
     n = len(key)
@@ -116,7 +74,7 @@ def segments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int
     place = at[first]
     text = np.searchsorted(begins, first, "right") - 1
     around = ((place - first).astype(np.uint64) << np.uint64(32)) + (stop - first).astype(np.uint64)
-    return text, first, stop, place, own[place], _mixed(hashes.of(first, stop + length) ^ _mixed(around))
+    return text, first, stop, place, own[place], mixed(hashes.of(first, stop + length) ^ mixed(around))
 
 
 def _chunks(texts: list[bytes], length: int):
@@ -283,33 +241,122 @@ def _compared(length: int, keep_first: bool):
     return run
 
 
-def _windows(length: int):
-    """(uid, id, start, key) of each window of the segments of an anchor that has too many."""
+def _common(x: bytes, y: bytes) -> int:
+    n = min(len(x), len(y))
+    if x[:n] == y[:n]:
+        return n
+    return int((np.frombuffer(x, np.uint8, n) != np.frombuffer(y, np.uint8, n)).argmax())
+
+
+ORDERED = "anchor long, uid long, id long, first int, last int, place int, back binary, ahead binary, most_back int, most_ahead int, low array<int>, high array<int>"
+
+
+def _beside(length: int, column: str):
+    """Each row with what it shares with its neighbours of one anchor, in a partition sorted by ``column``.
+
+    ``low`` and ``high`` gain the windows, counted from the anchor, that row and neighbour share; ``most_<column>`` is the
+    longest common prefix with any row of the anchor. Nothing is known beyond a partition's ends, so there it is the whole.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        most = f"most_{column}"
+        before = None
+        for part in batches:
+            done = []
+            for row in part.to_dict("records"):
+                row["low"], row["high"] = list(row["low"]), list(row["high"])
+                row[most] = len(row[column]) if before is None else 0
+                if before is not None:
+                    if before["anchor"] == row["anchor"]:
+                        back, ahead = _common(before["back"], row["back"]), _common(before["ahead"], row["ahead"])
+                        for own in (before, row):
+                            own[most] = max(own[most], back if column == "back" else ahead)
+                            if ahead + back >= length:
+                                own["low"].append(-back)
+                                own["high"].append(ahead - length)
+                    done.append(before)
+                before = row
+            yield pd.DataFrame(done, columns=part.columns)
+        if before is not None:
+            before[most] = len(before[column])
+            yield pd.DataFrame([before])
+
+    return run
+
+
+def _shared(length: int):
+    """Marks for the windows that neighbours share."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
+            out = []
             for row in part.itertuples(index=False):
-                data = np.frombuffer(row.text, np.uint8)
-                keys = Hashes(data).all_of(length)
-                start = np.arange(row.first, row.last + 1)
-                place = _mixed((start - row.place).astype(np.uint64) ^ np.uint64(row.anchor & 0xFFFFFFFFFFFFFFFF))
-                yield pd.DataFrame(
-                    {"uid": row.uid, "id": row.id, "start": start, "key": (keys ^ place).view(np.int64)}
-                )
+                spans = sorted(zip(row.low, row.high))
+                out += [(row.uid, row.place + a, row.place + b + length) for a, b in joined_spans([(x, y + 1) for x, y in spans])]
+            marks = pd.DataFrame(out, columns=["uid", "start", "stop"])
+            yield marks.assign(stop=marks["stop"] - 1)
 
     return run
 
 
-def _texts(length: int):
-    """The bytes of the segments asked for, cut from their documents."""
+def _windows(length: int, counted: bool):
+    """Windows that may recur, as (uid, id, start, key); ``counted`` gives a batch's different keys and their number instead.
+
+    Windows that a neighbour is known to share are left out unless counted.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            out = [
-                (w["anchor"], row.uid, row.id, w["first"], w["last"], w["place"], w["n"], row.bytes[w["first"] : w["last"] + length])
-                for row in part.itertuples(index=False) for w in row.wanted
-            ]
-            yield pd.DataFrame(out, columns=["anchor", "uid", "id", "first", "last", "place", "n", "text"])
+            if not len(part):
+                continue
+            texts = [b[::-1] + a for b, a in zip(part["back"], part["ahead"])]
+            size = np.array([len(t) for t in texts])
+            begin = np.cumsum(size) - size
+            place = part["place"].to_numpy().astype(np.int64)
+            low = np.maximum(part["first"].to_numpy() - place, -part["most_back"].to_numpy())
+            high = np.minimum(part["last"].to_numpy() - place, part["most_ahead"].to_numpy() - length)
+            n = np.maximum(0, high - low + 1)
+            row = np.repeat(np.arange(len(part)), n)
+            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[row]
+            if not counted:
+                known = [set() for _ in texts]
+                for own, lows, highs in zip(known, part["low"], part["high"]):
+                    for a, b in zip(lows, highs):
+                        own.update(range(a, b + 1))
+                fresh = np.fromiter((o not in known[r] for r, o in zip(row.tolist(), offset.tolist())), bool, len(row))
+                row, offset = row[fresh], offset[fresh]
+            hashes = Hashes(np.frombuffer(b"".join(texts), np.uint8))
+            start = begin[row] + place[row] - part["first"].to_numpy()[row] + offset
+            anchor = part["anchor"].to_numpy().view(np.uint64)[row]
+            key = (hashes.of(start, start + length) ^ mixed(offset.view(np.uint64) ^ anchor)).view(np.int64)
+            if counted:
+                key, number = np.unique(key, return_counts=True)
+                yield pd.DataFrame({"key": key, "n": number})
+            else:
+                own = part.iloc[row]
+                yield pd.DataFrame({"uid": own["uid"], "id": own["id"], "start": place[row] + offset, "key": key})
+
+    return run
+
+
+ASKED = "anchor long, uid long, id long, first int, last int, place int, n long"
+
+
+def _texts(length: int, apart: bool):
+    """The bytes of the segments asked for, cut from their documents; ``apart``: those before the anchor, read backwards, and
+    the others."""
+    names = [c.split()[0] for c in ASKED.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            out = []
+            for row in part.itertuples(index=False):
+                for w in row.wanted:
+                    text = row.bytes[w["first"] : w["last"] + length]
+                    at = w["place"] - w["first"]
+                    bytes_ = (text[:at][::-1], text[at:]) if apart else (text,)
+                    out.append((w["anchor"], row.uid, row.id, w["first"], w["last"], w["place"], w["n"], *bytes_))
+            yield pd.DataFrame(out, columns=[*names, *(("back", "ahead") if apart else ("text",))])
 
     return run
 
@@ -340,23 +387,32 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         F.collect_list(F.struct("anchor", "first", "last", "place", "n", "size")).alias("wanted")
     )
     parts = docs.select("uid", "id", "bytes").join(wanted, "uid")
-    kinds = "anchor long, uid long, id long, first int, last int, place int, n long, text binary"
     split = lambda test: parts.withColumn("wanted", F.filter("wanted", test)).filter(F.size("wanted") > 0)
 
-    small = split(lambda w: w["size"] <= GROUP).mapInPandas(_texts(length), kinds)
+    small = split(lambda w: w["size"] <= GROUP).mapInPandas(_texts(length, False), f"{ASKED}, text binary")
     order = small.repartition("anchor").sortWithinPartitions("anchor", "id", "uid", "first")
     compared = order.mapInPandas(_compared(length, keep_first), MARKS)
 
-    large = split(lambda w: w["size"] > GROUP).mapInPandas(_texts(length), kinds)
-    windows = large.dropDuplicates(["anchor", "uid", "first"]).mapInPandas(
-        _windows(length), "uid long, id long, start int, key long"
-    )
-    place = F.struct("id", "uid", "start")
-    shared = windows.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("rep")).filter("n > 1")
-    hot = windows.join(shared.select("key", "rep"), "key")
+    large = split(lambda w: w["size"] > GROUP).mapInPandas(_texts(length, True), f"{ASKED}, back binary, ahead binary")
+    nothing, none = F.lit(0), F.array().cast("array<int>")
+    laid = large.dropDuplicates(["anchor", "uid", "first"]).select(
+        "anchor", "uid", "id", "first", "last", "place", "back", "ahead", nothing.alias("most_back"),
+        nothing.alias("most_ahead"), none.alias("low"), none.alias("high"),
+    )
+    for column in ("back", "ahead"):
+        laid = laid.repartitionByRange("anchor", column).sortWithinPartitions("anchor", column)
+        laid = laid.mapInPandas(_beside(length, column), ORDERED)
+    laid = stored(laid, "ordered")
+    if keep_first:  # what a neighbour shares may be the first copy itself
+        laid = laid.withColumns({"low": none, "high": none})
+    shared = laid.mapInPandas(_shared(length), MARKS)
+    often = laid.mapInPandas(_windows(length, True), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    rest = laid.mapInPandas(_windows(length, False), "uid long, id long, start int, key long")
+    hot = rest.join(often.filter("n > 1"), "key")
     if keep_first:
-        hot = hot.filter(place != F.col("rep"))
-    hot = hot.select("uid", "start", (F.col("start") + length).alias("stop"))
+        place = F.struct("id", "uid", "start")
+        hot = hot.join(rest.groupBy("key").agg(F.min(place).alias("rep")), "key").filter(place != F.col("rep"))
+    hot = shared.unionByName(hot.select("uid", "start", (F.col("start") + length).alias("stop")))
 
     marks = whole.unionByName(compared).unionByName(hot)
     return marks.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))

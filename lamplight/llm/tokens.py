@@ -1,7 +1,7 @@
 """Token ids of whole texts with a given tokenizer file, each distinct stretch between spaces encoded once.
 
 The tokenizer drops white space and no token crosses it, so a text's ids are those of its stretches in order. A process
-keeps the ids of up to ``KEPT`` stretches from batch to batch; the rest is forgotten and encoded anew.
+keeps the ids of about ``KEPT`` stretches from batch to batch, those met last; others are forgotten and encoded anew.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from itertools import chain
 
 import numpy as np
 
-KEPT = 1_000_000
-#: A word of Latin letters with one mark after it at most: its letters and the mark are tokens of their own, and case
-#: is dropped letter by letter. Everything else is encoded as it stands.
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+from lamplight.llm.hashing import Hashes
+
+KEPT = 250_000
+#: A word of small Latin letters with one mark after it at most: letters and mark are tokens of their own.
+_SIMPLE = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
 _TOGETHER = 64
 
 
@@ -37,8 +38,9 @@ class Encoder:
         ending = bare.get_vocab()
         self.ends = np.zeros(max(ending.values()) + 1, bool)
         self.ends[[i for token, i in ending.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {"": b""}
+        # Two generations: what is met moves to the younger, which becomes the elder when it is full.
+        self.known: dict[bytes, bytes] = {b"": b""}
+        self.elder: dict[bytes, bytes] = {}
 
     def _learn_words(self, words: list[str]) -> None:
         joined = [" ".join(words[i : i + _TOGETHER]) for i in range(0, len(words), _TOGETHER)]
@@ -49,41 +51,84 @@ class Encoder:
             raise RuntimeError("a word's tokens don't end with one end mark")
         data, start = ids.tobytes(), 0
         for word, stop in zip(words, stops.tolist()):
-            self.words[word] = data[start:stop]
+            self.known[word.encode()] = data[start:stop]
             start = stop
 
-    def _meet(self, fresh: set[str]) -> None:
+    def _recall(self, stretches: list[bytes]) -> list[bytes]:
+        """Moves what is known of these to the younger generation; returns the others."""
+        known, elder = self.known, self.elder
+        fresh = []
+        for stretch in stretches:
+            if stretch not in known:
+                ids = elder.get(stretch)
+                if ids is None:
+                    fresh.append(stretch)
+                else:
+                    known[stretch] = ids
+        return fresh
+
+    def _meet(self, fresh: list[bytes]) -> None:
         simple, letters, marks, odd = [], [], [], []
         for stretch in fresh:
-            m = _SIMPLE.fullmatch(stretch)
+            m = _SIMPLE.fullmatch(stretch.decode("utf-8", "surrogatepass"))
             if m:
                 simple.append(stretch)
-                letters.append(m[1].lower())
+                letters.append(m[1])
                 marks.append(m[2])
             else:
                 odd.append(stretch)
-        words, known = self.words, self.known
-        new = {*letters, *marks} - words.keys()
-        if len(words) + len(new) > KEPT:
-            self.words = words = {"": b""}
-            new = {*letters, *marks} - words.keys()
-        self._learn_words(list(new))
+        known = self.known
+        self._recall([w.encode() for w in {*letters, *marks}])
+        self._learn_words([w for w in {*letters, *marks} if w.encode() not in known])
         for stretch, a, b in zip(simple, letters, marks):
-            known[stretch] = words[a] + words[b]
-        for stretch, coded in zip(odd, self.encode(odd, add_special_tokens=False)):
+            if b:
+                known[stretch] = known[a.encode()] + known[b.encode()]
+        texts = [stretch.decode("utf-8", "surrogatepass") for stretch in odd]
+        for stretch, coded in zip(odd, self.encode(texts, add_special_tokens=False)):
             known[stretch] = array("I", coded.ids).tobytes()
 
+    @staticmethod
+    def _plain(text: str) -> str:
+        """Lower-cased where each character's lower case and normal form are its own and no special token can arise."""
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                return text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Per text its ids, unsigned 32-bit."""
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        needed = set(chain.from_iterable(cut))
-        fresh = needed - self.known.keys()
-        if len(self.known) + len(fresh) > KEPT:
-            self.known = {s: self.known[s] for s in needed - fresh} | {"": b""}
+        """Per text its ids, unsigned 32-bit.
+
+        The texts are put in a row, a space after each; equal stretches are found by their hashes, and the ids of the
+        different ones are dealt out to where they stand.
+        """
+        coded = [self._plain(text).encode("utf-8", "surrogatepass") for text in texts]
+        whole = b" ".join([*coded, b""]).replace(b"\n", b" ")
+        if not whole:
+            return []
+        data = np.frombuffer(whole, np.uint8)
+        stops = np.flatnonzero(data == 32)
+        starts = np.r_[0, stops[:-1] + 1]
+        _, at, place = np.unique(Hashes(data).of(starts, stops), return_index=True, return_inverse=True)
+        stretches = [whole[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())]
+        fresh = self._recall(stretches)
         if fresh:
             self._meet(fresh)
-        known = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(known, stretches)), "<u4") for stretches in cut]
+        parts = list(map(self.known.__getitem__, stretches))
+        if len(self.known) > KEPT // 2:
+            self.known, self.elder = {b"": b""}, self.known
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat = np.frombuffer(b"".join(parts), "<u4")
+        begin = np.cumsum(size) - size
+        own = size[place]
+        after = np.cumsum(own)
+        ids = flat[np.repeat(begin[place] - after + own, own) + np.arange(after[-1])]
+        # A text's last stretch ends where its own space stands.
+        ends = np.cumsum([len(c) + 1 for c in coded]) - 1
+        last = after[np.searchsorted(stops, ends)]
+        return np.split(ids, last[:-1])
 
 
 _ENCODERS: dict[str, Encoder] = {}
