@@ -57,7 +57,7 @@ class FormulaReader(Protocol):
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), 1)
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
 def token_id(word: str, dimension: int = DEFAULTS.embed_sparse_dim) -> int:
@@ -68,7 +68,7 @@ def token_id(word: str, dimension: int = DEFAULTS.embed_sparse_dim) -> int:
 def _token_cells(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Row number and word code of every word in a batch, and the words themselves."""
     lower = pc.utf8_lower(pc.fill_null(texts, ""))
-    lists = pc.split_pattern_regex(lower, pattern="[^a-z]+")
+    lists = pc.split_pattern_regex(lower, pattern=r"[^\p{L}\p{N}]+")
     rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
     flat = lists.flatten().dictionary_encode()
     codes, vocabulary = flat.indices.to_numpy(), flat.dictionary.to_pylist()

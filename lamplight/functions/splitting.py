@@ -130,7 +130,7 @@ class _Packer:
         waiting = self.open is not None and self.open["block_types"] == ["heading"]
         if waiting:
             text = self.open["content"] + HEADING_JOIN + text
-        self.title = text[: DEFAULTS.max_title_chars]
+        self.title = text
         if waiting:
             self.open["content"] = text
             self.open["section_title"] = self.title

@@ -7,7 +7,6 @@ from unicodedata import normalize
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
-from lamplight.settings import DEFAULTS
 
 # The characters Unicode counts as white space when a string is stripped.
 WHITESPACE = (
@@ -109,8 +108,9 @@ def object_key(prefix: str, *parts: Column) -> Column:
     )
 
 
-def section_title(text: Column) -> Column:
-    return F.substring(strip(text), 1, DEFAULTS.max_title_chars)
+def section_title(text: Column, limit: int | None = None) -> Column:
+    title = strip(text)
+    return title if limit is None else F.substring(title, 1, limit)
 
 
 def table_cell(cell: Column) -> Column:
@@ -123,8 +123,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def table_markdown(grid: Column, limit: int = DEFAULTS.max_table_chars) -> Column:
-    """A grid of strings as a Markdown table; the first row is the header."""
+def table_markdown(grid: Column, limit: int | None = None) -> Column:
+    """A grid of strings as a Markdown table; the first row is the header.
+
+    Only a caller that gives a ``limit`` gets longer tables cut, with a mark at their end.
+    """
 
     def line(cells: Column, width: Column) -> Column:
         padded = F.concat(cells, F.array_repeat(F.lit(""), width - F.size(cells)))
@@ -141,6 +144,8 @@ def table_markdown(grid: Column, limit: int = DEFAULTS.max_table_chars) -> Colum
         )
 
     def cut(whole: Column) -> Column:
+        if limit is None:
+            return whole
         short = F.concat(F.substring(whole, 1, limit), F.lit(TRUNCATED_TABLE))
         return F.when(F.length(whole) > limit, short).otherwise(whole)
 
@@ -162,11 +167,11 @@ def formula_source(latex: Column) -> Column:
     return F.when(fenced, strip(F.regexp_replace(body, r"\A\$+|\$+\z", ""))).otherwise(body)
 
 
-def formula_marker(latex: Column, limit: int = DEFAULTS.max_formula_chars) -> Column:
+def formula_marker(latex: Column, limit: int | None = None) -> Column:
     body = formula_source(latex)
     return F.when(
         F.coalesce(body, F.lit("")) != "",
-        F.concat(F.lit("$$ "), F.substring(body, 1, limit), F.lit(" $$")),
+        F.concat(F.lit("$$ "), body if limit is None else F.substring(body, 1, limit), F.lit(" $$")),
     )
 
 

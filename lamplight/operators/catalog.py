@@ -40,9 +40,9 @@ def channel_by_name(channels: DataFrame, name: str) -> DataFrame:
 def judge_new_channels(channels: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (seq, name, …) with the stripped name and why a row cannot go in.
 
-    The first of several equal names in one batch wins.
+    The first of several equal names in one batch wins. A null name counts as blank.
     """
-    named = wanted.withColumn("name", text.strip(F.col("name")))
+    named = wanted.withColumn("name", F.coalesce(text.strip(F.col("name")), F.lit("")))
     first = named.groupBy("name").agg(F.min("seq").alias("_first"))
     taken = channels.select("name", F.lit(True).alias("_taken"))
     reason = (
@@ -214,8 +214,11 @@ def judge_links(tenants: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def link_tenants(tenants: DataFrame, links: DataFrame) -> DataFrame:
+    """``tenants`` with the links that are in order. Of several links of one tenant, and then of several tenants that
+    ask for one corpus, the first by id wins."""
     good = judge_links(tenants, links).where(F.col("reason").isNull())
-    good = good.select("channelid", F.col("rag_channel_id").alias("_new"))
+    good = good.groupBy("channelid").agg(F.min("rag_channel_id").alias("_new"))
+    good = good.groupBy("_new").agg(F.min("channelid").alias("channelid"))
     return tenants.join(good, "channelid", "left").withColumn(
         "rag_channel_id", F.coalesce("_new", "rag_channel_id")
     ).drop("_new")
@@ -263,9 +266,10 @@ def open_sessions(logins: DataFrame, hours: int = DEFAULTS.session_hours) -> Dat
 
 
 def end_sessions(sessions: DataFrame, ended: DataFrame) -> DataFrame:
-    """``ended`` (session_id, at) stamps the end of those sessions."""
+    """``ended`` (session_id, at) stamps the end of those sessions; of several ends of one the first counts."""
+    first = ended.groupBy("session_id").agg(F.min("at").alias("_at"))
     return (
-        sessions.join(ended.select("session_id", F.col("at").alias("_at")), "session_id", "left")
+        sessions.join(first, "session_id", "left")
         .withColumn("ended_at", F.coalesce("_at", "ended_at"))
         .drop("_at")
     )

@@ -87,8 +87,8 @@ def fill_grids(cells: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def regions(items: DataFrame, cap: int = DEFAULTS.max_blocks_per_page) -> DataFrame:
-    """Known items as regions, numbered from 0 inside their page, ``cap`` per page.
+def regions(items: DataFrame, cap: int | None = None) -> DataFrame:
+    """Known items as regions, numbered from 0 inside their page; with a ``cap`` only so many per page.
 
     ``items`` has doc_id, page_number, seq, class_name, text and optionally bbox,
     table_data and image columns. Items of unknown class or without a page go.
@@ -98,13 +98,10 @@ def regions(items: DataFrame, cap: int = DEFAULTS.max_blocks_per_page) -> DataFr
     )
     own_text = F.when(F.col("kind") == "table", "").otherwise(text.strip(F.coalesce("text", F.lit(""))))
     page_order = Window.partitionBy("doc_id", "page_number").orderBy("seq")
-    return (
-        known.withColumn("text", own_text)
-        .withColumn("_n", F.row_number().over(page_order))
-        .where(F.col("_n") <= cap)
-        .withColumn("reading_order", F.col("_n") - 1)
-        .drop("_n", "class_name", "seq")
-    )
+    numbered = known.withColumn("text", own_text).withColumn("_n", F.row_number().over(page_order))
+    if cap is not None:
+        numbered = numbered.where(F.col("_n") <= cap)
+    return numbered.withColumn("reading_order", F.col("_n") - 1).drop("_n", "class_name", "seq")
 
 
 def needs_reading(kind: Column, words: Column, options: ExtractOptions) -> Column:
@@ -179,7 +176,7 @@ def blocks(
             ),
             "latex": F.when(
                 (kind == "formula") & F.lit(options.extract_formulas),
-                F.substring(text.formula_source(formulas.latex(image)), 1, DEFAULTS.max_formula_chars),
+                text.formula_source(formulas.latex(image)),
             ),
         }
     )

@@ -54,8 +54,12 @@ class _Best:
     def offer(self, scores: np.ndarray, ids) -> None:
         at = np.flatnonzero(scores <= self.bar)
         if at.size > self.k:
-            cut = np.partition(scores[at], self.k - 1)[self.k - 1]
-            at = at[scores[at] <= cut]
+            # Of the rows tied at the cut only those of the smallest ids can stay.
+            found = scores[at]
+            cut = np.partition(found, self.k - 1)[self.k - 1]
+            under, tied = at[found < cut], at[found == cut]
+            least = pc.select_k_unstable(ids.take(pa.array(tied)), self.k - len(under), [("", "ascending")])
+            at = np.concatenate([under, tied[least.to_numpy(zero_copy_only=False)]])
         if not at.size:
             return
         fresh = zip(scores[at].tolist(), ids.take(pa.array(at)).to_pylist())
@@ -160,7 +164,7 @@ def candidates(
     k: int,
     dense: bool = True,
     sparse: bool = True,
-    zero_overlap: bool = False,
+    zero_overlap: bool = True,
     scope: Column | None = None,
 ) -> DataFrame:
     """Per task, the best ``k`` rows of each question and arm.

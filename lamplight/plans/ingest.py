@@ -16,7 +16,7 @@ from lamplight.functions.providers import Embedder
 from lamplight.functions.splitting import pack
 from lamplight.operators import catalog, layout
 from lamplight.operators.rows import exploded
-from lamplight.session import small_or_not, stored
+from lamplight.session import stored
 from lamplight.sources import extract, files
 from lamplight.sources.warehouse import Warehouse
 from lamplight.settings import DEFAULTS, ExtractOptions, Settings
@@ -185,7 +185,7 @@ def ingest_documents(
     # The earlier ones are few, so the documents themselves are not shuffled for it.
     last = good.groupBy("report_id").agg(F.max("seq").alias("_last"))
     earlier = good.select("report_id", "seq").join(last, "report_id").where("seq < _last").drop("_last")
-    good = good.join(small_or_not(earlier), ["report_id", "seq"], "left_anti")
+    good = good.join(earlier, ["report_id", "seq"], "left_anti")
     # Extraction is the costly step: its result is written once, and the chunks, the
     # replaced reports and the statistics read the columns they need from there.
     kept = ["channel_id", "report_id", "filename", "blocks", "detected_languages", "packed"]
@@ -216,7 +216,7 @@ def ingest_files(
     found = files.validate(files.pdf_files(store.spark, path, recursive))
     meta = F.create_map(*[F.lit(x) for pair in (metadata or {}).items() for x in pair])
     docs = found.select(
-        F.hash("path").cast("long").alias("seq"),
+        F.col("path").alias("seq"),
         F.lit(channel_id).alias("channel_id"),
         files.file_name(F.col("path")).alias("filename"),
         F.lit(title if single else "").alias("title"),

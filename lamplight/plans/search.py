@@ -7,6 +7,8 @@ from dataclasses import replace
 from itertools import islice
 from uuid import uuid4
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from lamplight import schemas
@@ -50,7 +52,7 @@ def first_stage(
     candidates: int = ranking.CANDIDATES,
     alpha: float = ranking.ALPHA,
     rrf_k: int = ranking.RRF_K,
-    zero_overlap: bool = False,
+    zero_overlap: bool = True,
     scope: Column | None = None,
 ) -> DataFrame:
     """Fused candidates of every question, with both ranks and the fused score."""
@@ -59,11 +61,10 @@ def first_stage(
 
 
 def centroid(rows: DataFrame, vector: str = "embedding", key: str = "question_id") -> DataFrame:
-    """Element-wise mean vector per key. Elements are averaged apart, then put in order."""
-    cells = rows.select(key, F.posexplode(vector).alias("at", "x"))
-    means = cells.groupBy(key, "at").agg(F.avg(F.col("x").cast("double")).alias("mean"))
-    ordered = F.array_sort(F.collect_list(F.struct("at", "mean")))
-    return means.groupBy(key).agg(F.transform(ordered, lambda e: e["mean"]).alias("centroid"))
+    """Element-wise mean vector per key, from partial sums of whole vectors. Null vectors are passed over."""
+    known = rows.where(F.col(vector).isNotNull())
+    mean = Summarizer.mean(array_to_vector(F.col(vector)))
+    return known.groupBy(key).agg(vector_to_array(mean).alias("centroid"))
 
 
 def expanded_question(
@@ -94,7 +95,7 @@ def hybrid_query(
     rerank: bool = True,
     reranker: Reranker | None = None,
     question: Question | None = None,
-    zero_overlap: bool = False,
+    zero_overlap: bool = True,
 ) -> DataFrame:
     """Top ``top_k`` chunks of one channel for one question, with their neighbours.
 
@@ -136,7 +137,7 @@ def search_all(
     alpha: float = ranking.ALPHA,
     neighbours: int = 0,
     reranker: Reranker | None = None,
-    zero_overlap: bool = False,
+    zero_overlap: bool = True,
     scope: Column | None = None,
 ) -> DataFrame:
     """Many questions in one scan of the corpus, each inside its own channel."""

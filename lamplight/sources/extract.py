@@ -14,7 +14,6 @@ from lamplight import schemas
 from lamplight.functions import text
 from lamplight.operators.layout import item_kind
 from lamplight.operators.rows import exploded
-from lamplight.settings import DEFAULTS
 
 # Page length of sources that have no pages of their own.
 HTML_PAGE_ITEMS = 8
@@ -114,26 +113,22 @@ def item_rows(docs: DataFrame, items: Column) -> DataFrame:
     )
 
 
-def with_blocks(docs: DataFrame, items: Column, per_page: int = DEFAULTS.max_blocks_per_page) -> DataFrame:
+def with_blocks(docs: DataFrame, items: Column) -> DataFrame:
     """``docs`` plus ``blocks``: worded, normalised items as the array the packer takes.
 
-    Items come in page order, so an item is beyond the first ``per_page`` of its page
-    exactly when the item that many places earlier is on the same page. Everything an
-    element needs is zipped to it: an expression captured by a lambda would be
-    computed again for every element.
+    Everything an element needs is zipped to it: an expression captured by a lambda
+    would be computed again for every element.
     """
     known = F.filter(
         items, lambda x: item_kind(x["class_name"]).isNotNull() & x["page_number"].isNotNull()
     )
     staged = docs.withColumn("_known", known)
     texts = text.nfkc_all(F.transform("_known", lambda x: x["text"]))
-    pages = F.transform("_known", lambda x: x["page_number"])
-    earlier = F.concat(F.array_repeat(F.lit(None).cast("int"), per_page), pages)
-    zipped = F.arrays_zip(F.col("_known").alias("item"), texts.alias("words"), earlier.alias("earlier"))
+    zipped = F.arrays_zip(F.col("_known").alias("item"), texts.alias("words"))
 
     def block(z: Column, n: Column) -> Column:
         page = z["item"]["page_number"]
-        kept = page.isNotNull() & F.coalesce(z["earlier"] != page, F.lit(True)) & text.has_text(z["words"])
+        kept = page.isNotNull() & text.has_text(z["words"])
         return F.when(
             kept,
             F.struct(

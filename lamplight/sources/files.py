@@ -8,22 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 PDF_MIN_BYTES = 32
 PDF_MAGIC = "%PDF-"
 
-# One full wave of input splits of this size keeps every core busy by itself.
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Deals a small input out to all cores before costly work on its rows.
-
-    A table below one wave of full splits often sits in fewer row groups than there
-    are cores. Its size is looked up first; a larger table is left as it was read.
-    """
-    slots = rows.sparkSession.sparkContext.defaultParallelism
-    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(size) >= slots * SPLIT_BYTES:
-        return rows
-    return rows.repartition(slots)
-
 
 def pdf_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """PDFs under ``path`` (a file or folder): path, modificationTime, length, content.

@@ -17,7 +17,6 @@ from lamplight.functions.providers import LexicalEmbedder
 from lamplight.operators import catalog
 from lamplight.operators.rows import exploded
 from lamplight.sources import extract
-from lamplight.sources.files import spread
 
 EPOCH = 1_704_067_200
 LINES_PER_PAGE = 8
@@ -56,7 +55,7 @@ def sql_has_text(x: str) -> str:
 
 
 def sql_words(x: str) -> str:
-    return f"regexp_extract_all(lower({x}), '([a-z]+)', 1)"
+    return f"regexp_extract_all(lower({x}), '([\\p{{L}}\\p{{N}}]+)', 1)"
 
 
 def sql_token(x: str) -> str:
@@ -114,7 +113,7 @@ def reports(spark: SparkSession, folder: str) -> DataFrame:
 
 def line_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Every non-blank line of every document as a chunk of its report."""
-    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
     named = docs.withColumns({"channel_id": channel_id(), "filename": _filename()})
     named = named.withColumn("report_id", catalog.report_id(F.col("channel_id"), F.col("filename")))
     rows = exploded(named, lines_of(F.col("text")), "chunk_index", "content")
@@ -131,7 +130,7 @@ def line_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that have a vector, as chunks of the report of their source."""
-    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     rows = docs.join(vectors, "doc_id")
     return rows.select(
@@ -214,7 +213,7 @@ def item_boxes(spark: SparkSession, folder: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus", "l_shipdate",
     )
-    li = spread(li)
+    li = li
     left = F.col("l_quantity") * 6.0
     top = F.col("l_partkey") % 700
     return li.select(
@@ -302,7 +301,7 @@ class TaggedFormula:
 
 
 def html_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), "html"))
+    return table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), "html")
 
 
 def html_item_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -312,7 +311,7 @@ def html_item_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def ingest_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Plain texts and web pages as documents to ingest, two extractors apart."""
-    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
     return docs.select(
         F.col("doc_id").alias("seq"),
         channel_id().alias("channel_id"),

@@ -22,7 +22,6 @@ from lamplight.sources.standins import (
     sql_words,
     with_views,
 )
-from lamplight.sources.files import spread
 from lamplight.sources.warehouse import Warehouse
 from lamplight.workload.layout import HTML_ITEMS
 from lamplight.workload.register import query
@@ -169,7 +168,7 @@ def _(spark, folder):
     SELECT doc_id, min(language) AS language, count(DISTINCT language) AS languages FROM spoken GROUP BY doc_id""",
 )
 def _(spark, folder):
-    rows = extract.with_blocks(spread(view.table(spark, folder, "documents").select("doc_id", "text")), extract.text_items(F.col("text")))
+    rows = extract.with_blocks(view.table(spark, folder, "documents").select("doc_id", "text"), extract.text_items(F.col("text")))
     found = rows.select("doc_id", extract.languages_of_blocks(F.col("blocks")).alias("found")).where("size(found) > 0")
     return found.select(
         "doc_id", document_language(F.col("found")).alias("language"), F.size("found").alias("languages")
@@ -183,7 +182,7 @@ def _(spark, folder):
           FROM (SELECT doc_id, unnest({sql_words("text")}) AS word FROM documents) GROUP BY ALL) GROUP BY doc_id""",
 )
 def _(spark, folder):
-    docs = spread(view.table(spark, folder, "documents").select("doc_id", F.col("text").alias("content")))
+    docs = view.table(spark, folder, "documents").select("doc_id", F.col("text").alias("content"))
     rows = plan.embedded(docs, EMBEDDER)
     words = F.aggregate(F.map_values("sparse_embedding"), F.lit(0.0), lambda n, w: n + w.cast("double"))
     rows = rows.select("doc_id", F.size("sparse_embedding").alias("tokens"), words.cast("long").alias("words"))

@@ -26,7 +26,7 @@ READERS = dict(reader=view.TaggedLines(), captioner=view.TaggedCaption(), formul
 
 
 def _docs(spark, folder):
-    return files.spread(view.table(spark, folder, "documents").select("doc_id", "lang", "source", "text"))
+    return view.table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
 
 
 def _regions(spark, folder):
@@ -123,11 +123,9 @@ def _(spark, folder):
     FROM line GROUP BY l_orderkey""",
 )
 def _(spark, folder):
-    li = files.spread(
-        view.table(spark, folder, "lineitem").select(
+    li = view.table(spark, folder, "lineitem").select(
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"
         )
-    )
     first = F.concat_ws("|", "l_partkey", "l_suppkey")
     cells = F.when(
         F.col("l_linenumber") == 1, F.array(first, F.concat("l_returnflag", F.lit("\nx ")))
@@ -177,12 +175,12 @@ def _(spark, folder):
 def _(spark, folder):
     bare = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", "[$]", "")).otherwise(F.concat(F.lit("x"), "source"))
     latex = F.when(F.col("doc_id") % 10 == 3, "  ").otherwise(F.concat(F.lit(" $"), bare, F.lit("$ ")))
-    return _docs(spark, folder).select("doc_id", text.formula_marker(latex).alias("marker"))
+    return _docs(spark, folder).select("doc_id", text.formula_marker(latex, limit=5000).alias("marker"))
 
 
 @query("fn_19_section_titles", f"SELECT doc_id, substr({sql_strip('text')}, 1, 300) AS section_title FROM documents")
 def _(spark, folder):
-    return _docs(spark, folder).select("doc_id", text.section_title(F.col("text")).alias("section_title"))
+    return _docs(spark, folder).select("doc_id", text.section_title(F.col("text"), limit=300).alias("section_title"))
 
 
 @query(
@@ -454,7 +452,7 @@ def _(spark, folder):
 
 
 _PAGE = (
-    "doc_id, page_number, content, substr(heading, 1, 300) AS section_title,"
+    "doc_id, page_number, content, heading AS section_title,"
     f" {sql_page_type()} AS page_type, {sql_language('content')} AS language, n AS n_blocks"
 )
 
@@ -590,7 +588,7 @@ def _html_pages(spark, folder):
 
 @query(
     "doc_06_web_pages",
-    f"""WITH {_HTML_PAGES} SELECT doc_id, page_number, content, substr(heading, 1, 300) AS section_title,
+    f"""WITH {_HTML_PAGES} SELECT doc_id, page_number, content, heading AS section_title,
         {sql_page_type()} AS page_type, {sql_language("content")} AS language FROM web""",
 )
 def _(spark, folder):

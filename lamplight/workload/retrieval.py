@@ -44,11 +44,11 @@ def sql_dense(vector: str = f"(SELECT embedding FROM embeddings WHERE vec_id = {
 ASKED_TOKENS = f"asked AS (SELECT {sql_token('word')} AS token, count(*) AS w FROM (SELECT unnest({sql_words(repr(ASKED))}) AS word) GROUP BY 1)"
 
 
-def sql_sparse(zero: bool = False, where: str = f"channel_id = '{CHANNEL}'") -> str:
+def sql_sparse(zero: bool = True, where: str = f"channel_id = '{CHANNEL}'") -> str:
     scores = f"""SELECT p.id, round(-sum(tf * w), 9) AS score FROM postings p JOIN asked a ON p.token = a.token
         WHERE {where} GROUP BY p.id"""
     if zero:
-        scores = f"""SELECT c.id, coalesce(s.score, 0) AS score FROM corpus c LEFT JOIN ({scores}) s ON c.id = s.id WHERE {where}"""
+        scores = f"""SELECT c.id, coalesce(s.score, 0) AS score FROM (SELECT * FROM corpus WHERE {where}) c LEFT JOIN ({scores}) s ON c.id = s.id"""
     return f"""SELECT id, score, row_number() OVER (ORDER BY score, id) AS sparse_rank FROM ({scores})
         QUALIFY sparse_rank <= {K}"""
 
@@ -62,7 +62,7 @@ def sql_fused(alpha: float = 0.5, rrf_k: int = 60) -> str:
 
 
 def hybrid_sql(
-    body: str, *more: str, alpha: float = 0.5, zero: bool = False, where: str = f"channel_id = '{CHANNEL}'",
+    body: str, *more: str, alpha: float = 0.5, zero: bool = True, where: str = f"channel_id = '{CHANNEL}'",
     vector: str = f"(SELECT embedding FROM embeddings WHERE vec_id = {VECTOR_ID})",
 ) -> str:
     steps = [
@@ -186,7 +186,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     found = scoring.candidates(_scoped(spark, folder), [question(spark, folder)], K, dense=False)
-    return scoring.ranked(found, K).select("id", "rank", "score")
+    return scoring.ranked(found, K).select("id", "rank", (F.col("score") + 0.0).alias("score"))
 
 
 @query(
@@ -438,8 +438,10 @@ _BATCH = f"""
               FROM (SELECT question_id, id, round(1 - {_COSINE.format("c.embedding", "q.embedding")}, 9) AS score
                     FROM q JOIN corpus c ON c.channel_id = q.scope) QUALIFY dense_rank <= {K}),
     sparse AS (SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY score, id) AS sparse_rank
-               FROM (SELECT question_id, p.id, round(-sum(tf * w), 9) AS score FROM asked a JOIN postings p
-                     ON p.channel_id = a.scope AND p.token = a.token GROUP BY question_id, p.id) QUALIFY sparse_rank <= {K}),
+               FROM (SELECT q.question_id, c.id, coalesce(s.score, 0) AS score FROM q JOIN corpus c ON c.channel_id = q.scope
+                     LEFT JOIN (SELECT question_id, p.id, round(-sum(tf * w), 9) AS score FROM asked a JOIN postings p
+                                ON p.channel_id = a.scope AND p.token = a.token GROUP BY question_id, p.id) s
+                     ON s.question_id = q.question_id AND s.id = c.id) QUALIFY sparse_rank <= {K}),
     fused AS (SELECT question_id, id, coalesce(0.5::DOUBLE * (1::DOUBLE / (60 + max(dense_rank))), 0)
                      + coalesce(0.5::DOUBLE * (1::DOUBLE / (60 + max(sparse_rank))), 0) AS rrf
               FROM (SELECT question_id, id, dense_rank, NULL AS sparse_rank FROM dense

@@ -54,7 +54,9 @@ def test_table_markdown(spark):
     grids = [[["a|b", "c\nd"], ["e"]], [], [[]], [["only"]], None]
     got = values(spark, text.table_markdown, grids, "array<array<string>>")
     assert got == ["| a\\|b | c d |\n| --- | --- |\n| e |  |", "", "", "| only |\n| --- |", ""]
-    long = values(spark, text.table_markdown, [[["x" * 60_000]]], "array<array<string>>")[0]
+    whole = values(spark, text.table_markdown, [[["x" * 60_000]]], "array<array<string>>")[0]
+    assert len(whole) == 60_000 + len("|  |\n| --- |")
+    long = values(spark, lambda g: text.table_markdown(g, 50_000), [[["x" * 60_000]]], "array<array<string>>")[0]
     assert long.endswith("x\n| … truncated … |") and len(long) == 50_000 + len(text.TRUNCATED_TABLE)
 
 
@@ -62,9 +64,11 @@ def test_markers(spark):
     rows = spark.createDataFrame([("cap", "ocr"), ("cap", ""), ("", "ocr"), ("", "")], "c string, o string")
     got = [r[0] for r in rows.select(text.figure_marker(F.col("c"), F.col("o"))).collect()]
     assert got == ["[Figure: cap]\nocr", "[Figure: cap]", "[Figure]\nocr", "[Figure]"]
-    assert values(spark, text.formula_marker, ["$x^2$", "", "y", "$z", "a" * 6000], "string") == [
-        "$$ x^2 $$", None, "$$ y $$", "$$ $z $$", "$$ " + "a" * 5000 + " $$",
-    ]
+    latex = ["$x^2$", "", "y", "$z", "a" * 6000]
+    short = ["$$ x^2 $$", None, "$$ y $$", "$$ $z $$"]
+    assert values(spark, text.formula_marker, latex, "string") == [*short, "$$ " + "a" * 6000 + " $$"]
+    cut = values(spark, lambda c: text.formula_marker(c, 5000), latex, "string")
+    assert cut == [*short, "$$ " + "a" * 5000 + " $$"]
 
 
 def test_blockquote_and_shorten(spark):

@@ -26,7 +26,7 @@ def test_ingest_shuffles_nothing_and_packs_once(spark, tiny):
 
 
 def test_page_cap_is_applied_before_the_shuffle(spark, tiny):
-    plan = plan_of(layout.regions(view.layout_items(spark, tiny)))
+    plan = plan_of(layout.regions(view.layout_items(spark, tiny), cap=200))
     assert plan.count("WindowGroupLimit") == 2
 
 

@@ -73,7 +73,7 @@ def test_questions_of_two_channels_share_a_scan(chunks):
     found = scoring.candidates(chunks, asked, 6, scope=F.col("channel_id"))
     rows = scoring.ranked(found, 6).collect()
     for q in asked:
-        for arm, expected in zip(("dense", "sparse"), brute(q, q.scope, 6)):
+        for arm, expected in zip(("dense", "sparse"), brute(q, q.scope, 6, True)):
             got = sorted((r["rank"], r["id"]) for r in rows if r["question_id"] == q.question_id and r["arm"] == arm)
             assert [i for _, i in got] == expected
 

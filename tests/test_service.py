@@ -83,5 +83,5 @@ def test_migrate(service, tmp_path):
 
 
 def test_settings_from_environment():
-    got = Settings.from_env({"EMBED_DIM": "8", "OCR_USE_CUDA": "false", "OCR_MIN_CONFIDENCE": "0.7", "OTHER": "x"})
-    assert (got.embed_dim, got.ocr_use_cuda, got.ocr_min_confidence) == (8, False, 0.7)
+    got = Settings.from_env({"SESSION_HOURS": "3", "BUCKET": "b", "OCR_MIN_CONFIDENCE": "0.7", "OTHER": "x"})
+    assert (got.session_hours, got.bucket, got.ocr_min_confidence) == (3, "b", 0.7)
