@@ -201,3 +201,37 @@ def test_migrations(spark, tmp_path):
     assert [r["version"] for r in catalog.pending(found, applied).collect()] == ["002_b.sql"]
     after = catalog.record_applied(applied, found, F.lit(T0).cast("timestamp"))
     assert after.count() == 2 and catalog.pending(found, after).count() == 0
+
+
+def test_repeated_links_and_ends_are_folded(spark):
+    tenants = spark.createDataFrame([(1, "a", None), (2, "b", None)], "channelid int, name string, rag_channel_id string")
+    links = spark.createDataFrame([(1, "x"), (2, "x"), (1, "y")], "channelid int, rag_channel_id string")
+    got = {r["channelid"]: r["rag_channel_id"] for r in catalog.link_tenants(tenants, links).collect()}
+    assert got == {1: "x", 2: None}
+    sessions = spark.sql("SELECT 's' AS session_id, CAST(NULL AS timestamp) AS ended_at")
+    ends = spark.sql("SELECT 's' AS session_id, timestamp '2024-01-02' AS at UNION ALL SELECT 's', timestamp '2024-01-01'")
+    rows = catalog.end_sessions(sessions, ends).collect()
+    assert len(rows) == 1 and rows[0]["ended_at"].day == 1
+
+
+def test_null_names_are_blank(spark):
+    wanted = spark.createDataFrame([(1, None), (2, "a")], "seq long, name string")
+    known = spark.createDataFrame([], "id string, name string")
+    got = {r["seq"]: r["reason"] for r in catalog.judge_new_channels(known, wanted).collect()}
+    assert got == {1: "blank name", 2: None}
+
+
+def test_percentiles_are_exact(spark):
+    from pyspark.sql import functions as F
+
+    from lamplight.plans import traces
+
+    rows = spark.range(40_000).select(
+        (F.col("id") % 3).alias("k"), F.pow(F.rand(1), 9).alias("value")
+    ).unionByName(spark.createDataFrame([(7, 1.0), (8, None), (None, 2.0), (None, 4.0)], "k long, value double"))
+    rows = rows.cache()
+    want = {r["k"]: r for r in rows.groupBy("k").agg(F.percentile("value", F.array(F.lit(0.5), F.lit(0.95))).alias("p")).collect()}
+    got = {r["k"]: r for r in traces.latency_by(rows, "k").collect()}
+    assert got.keys() == want.keys()
+    for k, r in got.items():
+        assert (r["p50"], r["p95"]) == (None, None) if want[k]["p"] is None else (r["p50"], r["p95"]) == pytest.approx(tuple(want[k]["p"]), rel=1e-12)
