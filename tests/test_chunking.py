@@ -142,3 +142,16 @@ def test_split_text_edges():
     assert split_text(" short ") == ["short"]
     hard = split_text("x" * 5000)
     assert [len(p) for p in hard] == [2000, 2000, 1400]
+
+
+def test_long_pages_are_kept_whole(spark):
+    from pyspark.sql import functions as F
+
+    from lamplight.sources import extract
+
+    item = lambda i: F.struct(
+        F.lit("TextItem").alias("class_name"), F.concat(F.lit("item "), i.cast("string")).alias("text"), F.lit(1).alias("page_number")
+    )
+    docs = spark.range(1).select(F.col("id").alias("doc_id"))
+    row = extract.with_blocks(docs, F.transform(F.sequence(F.lit(1), F.lit(500)), item)).first()
+    assert [b["content"] for b in row["blocks"]] == [f"item {i}" for i in range(1, 501)]
