@@ -51,7 +51,45 @@ def _(spark, folder):
     return sharding.place(docs, ["doc_id"], SHARDS, SLOTS).withColumnRenamed("shard_slot", "slot")
 
 
-@query("op9_pii")
+_PII_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+}
+_PII_KINDS = " UNION ALL ".join(
+    f"""SELECT doc_id, body, {rank} AS rank, '{kind}' AS kind, {pii.SCORES[kind]}::DOUBLE AS score, '{pii.CONTEXT_WORDS[kind]}' AS words,
+    regexp_extract_all(body, '{pattern}', 0) AS hits, string_split_regex(body, '{pattern}') AS gaps FROM d"""
+    for rank, (kind, pattern) in enumerate(_PII_PLAIN.items())
+)
+PII_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+found AS (SELECT *, len(hit) AS width FROM (
+  SELECT doc_id, body, rank, kind, score, words, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, generate_subscripts(hits, 1) AS i
+  FROM ({_PII_KINDS}))),
+placed AS (SELECT *, regexp_replace(hit, '[^0-9]', '', 'g') AS digits, replace(hit, ' ', '') AS plain,
+  (sum(len(gap) + width) OVER (PARTITION BY doc_id, kind ORDER BY i) - width)::BIGINT AS first FROM found),
+near AS (SELECT * REPLACE (score + CASE WHEN regexp_matches(lower(substr(body, greatest(first - {pii.CONTEXT}, 0)::BIGINT + 1,
+    (first - greatest(first - {pii.CONTEXT}, 0))::BIGINT)), words) THEN {pii.LIFT} ELSE 0 END AS score) FROM placed),
+kept AS (SELECT doc_id, rank, kind, first, score, kind || ':' || first || ':' || (first + width) AS span FROM near WHERE CASE kind
+  WHEN 'ip' THEN regexp_matches(hit, '{pii.IP_PARTS}')
+  WHEN 'card' THEN len(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, len(digits) + 1), lambda i:
+    CASE WHEN i % 2 = 1 THEN substr(reverse(digits), i, 1)::INT
+    ELSE substr(reverse(digits), i, 1)::INT * 2 - CASE WHEN substr(reverse(digits), i, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+  WHEN 'phone' THEN len(digits) BETWEEN 9 AND 15
+  WHEN 'iban' THEN list_reduce(list_transform(string_split(substr(plain, 5) || substr(plain, 1, 4), ''), lambda c:
+    CASE WHEN c BETWEEN '0' AND '9' THEN c::INT ELSE ascii(c) - 55 END),
+    lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1
+  WHEN 'ssn' THEN score >= {pii.LEAST_SCORE} AND substr(body, first::BIGINT, 1) <> '-' AND substr(body, (first + width + 1)::BIGINT, 1) <> '-'
+  ELSE true END)
+SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.BASE)},
+  sha256(coalesce(string_agg(span, ',' ORDER BY first, rank) FILTER (rank < {len(pii.BASE)}), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY first, rank), '') AS spans, coalesce(max(score), 0) AS highest_score
+FROM d LEFT JOIN kept USING (doc_id) GROUP BY doc_id"""
+
+
+@query("op9_pii", PII_SQL)
 def _(spark, folder):
     found = pii.find(table(spark, folder, "documents").select("doc_id", "text"))
     base = F.filter("pii", lambda s: s["rank"] < len(pii.BASE))
