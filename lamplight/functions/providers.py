@@ -39,19 +39,19 @@ class Reranker(Protocol):
 
 
 class LineReader(Protocol):
-    """Recognised lines of an image: array<struct<text, score>>."""
+    """Recognised lines of an image: array<struct<text, score>>. A null image must cost no model call."""
 
     def lines(self, image: Column) -> Column: ...
 
 
 class Captioner(Protocol):
-    """One-sentence caption of an image, '' when there is none."""
+    """One-sentence caption of an image, '' when there is none. A null image must cost no model call."""
 
     def caption(self, image: Column) -> Column: ...
 
 
 class FormulaReader(Protocol):
-    """LaTeX of an image, '' when there is none."""
+    """LaTeX of an image, '' when there is none. A null image must cost no model call."""
 
     def latex(self, image: Column) -> Column: ...
 

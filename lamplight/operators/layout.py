@@ -162,8 +162,12 @@ def blocks(
         .when((kind == "table") & F.lit(options.extract_tables), packed)
         .when((kind == "figure") & F.lit(options.extract_figures), F.coalesce(seen, F.lit("")))
     )
-    captioned = F.lit(options.figure_captioning) & (ratio >= DEFAULTS.figure_caption_min_area_ratio)
-    staged = found.withColumn("_seen", F.when(readable, recognised_text(reader.lines(image))))
+    # A model sees only the images that its gate lets through; the others reach it as nulls.
+    figure = (kind == "figure") & F.lit(options.extract_figures)
+    formula = (kind == "formula") & F.lit(options.extract_formulas)
+    captioned = figure & F.lit(options.figure_captioning) & (ratio >= DEFAULTS.figure_caption_min_area_ratio)
+    read = readable & (figure | needs_reading(kind, words, options))
+    staged = found.withColumn("_seen", F.when(read, recognised_text(reader.lines(F.when(read, image)))))
     staged = staged.withColumn("_raw", raw).withColumn("_clean", text.nfkc(F.col("_raw"))).withColumns(
         {
             "table_data": F.when(
@@ -171,12 +175,10 @@ def blocks(
                 F.transform(F.split("_clean", ROW_MARK, -1), lambda r: F.split(r, CELL_MARK, -1)),
             ),
             "caption": F.when(
-                (kind == "figure") & F.lit(options.extract_figures),
-                F.when(captioned, captioner.caption(image)).otherwise(""),
+                figure, F.when(captioned, captioner.caption(F.when(captioned, image))).otherwise("")
             ),
             "latex": F.when(
-                (kind == "formula") & F.lit(options.extract_formulas),
-                text.formula_source(formulas.latex(image)),
+                formula, text.formula_source(formulas.latex(F.when(formula, image)))
             ),
         }
     )

@@ -235,3 +235,27 @@ def test_percentiles_are_exact(spark):
     assert got.keys() == want.keys()
     for k, r in got.items():
         assert (r["p50"], r["p95"]) == (None, None) if want[k]["p"] is None else (r["p50"], r["p95"]) == pytest.approx(tuple(want[k]["p"]), rel=1e-12)
+
+
+def test_models_see_gated_images_only(spark):
+    from lamplight.operators import layout
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def caption(image):
+        if image is not None:
+            seen.add(1)
+            return "c"
+
+    class Counting:
+        def caption(self, image):
+            return caption(image)
+
+    rows = [(1, 1, i, "figure" if i < 3 else "text", "w" * 30, (0.0, 0.0, 50.0, 50.0), 100.0, 100.0, 50.0, b"x") for i in range(20)]
+    schema = (
+        "doc_id long, page_number int, reading_order int, kind string, text string, bbox struct<x_min:double,y_min:double,"
+        "x_max:double,y_max:double>, page_width double, page_height double, pixel_stddev double, image binary"
+    )
+    got = layout.blocks(spark.createDataFrame(rows, schema), captioner=Counting()).collect()
+    assert seen.value == 3 and sum(r["content"] is not None and r["content"].startswith("[Figure: c]") for r in got) == 3
