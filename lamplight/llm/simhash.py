@@ -62,7 +62,8 @@ def fingerprint(text: str | Column = "text", width: int = 3) -> Column:
         prints = np.array([fingerprint_of(t, width) for t in texts], np.uint64)
         return pd.Series(prints.view(np.int64))
 
-    return made(text_of(text))
+    # Never null, and known to be: a join on it would else have it made once more, for a test for nulls.
+    return F.coalesce(made(text_of(text)), F.lit(0).cast("long"))
 
 
 def as_hex(column: str) -> Column:
