@@ -368,6 +368,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     """
     found = docs.select("uid", "id", "bytes").mapInPandas(_occurrences(length, anchor), OCCURRENCES)
     often = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # Written first: only a join of two plain shuffles can have a hot anchor's side split.
+    often = stored(often, "anchors")
     repeated = stored(found.join(often, "anchor"), "segments")
 
     who = F.struct("id", "uid", "first", "last", "place")
