@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamplight.llm import decontamination, html_text, packing, pii, repeats, secret_scan, sharding, simhash, toxicity, vector_search
+from lamplight.llm import (
+    centroids, decontamination, hard_negatives, html_text, packing, pii, repeats, secret_scan, sharding, simhash, toxicity, url_filter,
+    vector_search,
+)
 from lamplight.llm.tables import table
 
 QUERIES: dict = {}
@@ -167,6 +170,85 @@ def _(spark, folder):
     return done.select("doc_id", *[f"repeats.{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
 
 
+#: Rules of hosts with their subdomains and of what the path starts with.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+#: A page with one of these words in its host puts its canonical URL on the list.
+LISTED_HOSTS = r"(^|[.-])(casino|bets|pills)([.-]|$)"
+
+_VALUES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+_PART = "coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(?:\\?([^#]*))?', {}), '')"
+URLS_SQL = rf"""WITH p AS (SELECT page_id, translate({_PART.format(1)}, '{url_filter._UPPER}', '{url_filter._LOWER}') AS host,
+  {_PART.format(2)} AS path, list_sort(list_filter(string_split({_PART.format(3)}, '&'),
+    lambda x: x <> '' AND NOT regexp_matches(x, '^({url_filter.TRACKING})(=|$)'))) AS told FROM pages),
+c AS (SELECT *, regexp_replace(regexp_replace(host, ':(80|443)?$', ''), '^({url_filter.ALIASES})\.', '') || regexp_replace(path, '/$', '')
+  || CASE WHEN len(told) > 0 THEN '?' || array_to_string(told, '&') ELSE '' END AS canonical FROM p),
+listed AS (SELECT DISTINCT canonical FROM c WHERE host <> '' AND regexp_matches(host, '{LISTED_HOSTS}')),
+rules(rule_host, rule_path, verdict) AS (VALUES {_VALUES}),
+fits AS (SELECT DISTINCT host, path, arg_max(rule_host || rule_path, len(rule_host || rule_path)) AS rule,
+    arg_max(verdict, len(rule_host || rule_path)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM c) JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY host, path)
+SELECT page_id, c.host, c.path, rule, CASE WHEN rule IS NOT NULL THEN verdict WHEN listed.canonical IS NOT NULL AND c.host <> '' THEN 'block' ELSE 'allow' END AS verdict
+FROM c LEFT JOIN fits ON c.host = fits.host AND c.path = fits.path LEFT JOIN listed ON c.canonical = listed.canonical"""
+
+
+@query("op11_url_filter", URLS_SQL)
+def _(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    rules = spark.sql(f"SELECT * FROM VALUES {_VALUES} AS t(host, path, verdict)")
+    listed = pages.select("url").filter(url_filter.host_of("url").rlike(LISTED_HOSTS))
+    return url_filter.judge(pages, rules, listed).select("page_id", "judged.*")
+
+
+def _rounds(rounds: int, k: int) -> str:
+    """SQL of all rounds, one after the other, for the SQL twin."""
+    steps = []
+    near = "SELECT v.n, min_by(j, (d, j)) AS j, min(d) AS d FROM (SELECT v.n, j, list_sum(list_transform(list_zip(v.v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{} c) v GROUP BY v.n"
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({near.format(r)})")
+        steps.append(
+            f"""c{r + 1} AS MATERIALIZED (SELECT c{r}.j, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN (
+  SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (SELECT j, i, sum(x)::BIGINT AS s, count(*) AS n FROM (
+    SELECT j, unnest(v.v)::BIGINT AS x, generate_subscripts(v.v, 1) AS i FROM v JOIN a{r} USING (n)) GROUP BY j, i) GROUP BY j) m USING (j))"""
+        )
+    steps.append(f"a AS MATERIALIZED ({near.format(rounds)})")
+    return ",\n".join(steps)
+
+
+CENTROIDS_SQL = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS j, v AS c FROM (SELECT v, sha256('3:' || vec_id) AS h FROM v ORDER BY h LIMIT 8)),
+{_rounds(10, 8)}
+SELECT vec_id, a.j::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c10.c, ',')) AS centroid_sha256
+FROM a JOIN v USING (n) JOIN c10 ON a.j = c10.j"""
+
+
+@query("op12_centroids", CENTROIDS_SQL)
+def _(spark, folder):
+    return centroids.cluster(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+NEGATIVES_SQL = """WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def _(spark, folder):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").select("vec_id", label.alias("label"), vector_search.digits("embedding", 256).alias("v"))
+    return hard_negatives.mine(rows, rows.filter("vec_id % 100 = 0"), id="vec_id")
+
+
 @query("pipeline")
 def _(spark, folder):
     import corpus_pipeline

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lamplight.session import shared_folder
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -22,3 +26,25 @@ def sampled(df: DataFrame, rows: int, *keys: str | Column) -> DataFrame:
         return df
     span = 1 << 30
     return df.filter(F.pmod(F.xxhash64(*keys), F.lit(span)) < int(span * rows / total))
+
+
+class Scratch:
+    """Intermediate tables in the shared folder, each deleted when its caller is done with it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.count = spark, f"{shared_folder(spark)}/{name}-{uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` written and read back; ``drop`` takes what is returned."""
+        path = f"{self.root}/{self.count}"
+        self.count += 1
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        kept._scratch_path = path
+        return kept
+
+    def drop(self, *kept: DataFrame) -> None:
+        """Deletes tables that nothing still to be computed reads."""
+        for df in kept:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
