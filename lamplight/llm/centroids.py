@@ -76,7 +76,7 @@ def _assigned(numbers: _Numbers, centroids: list[list[int]], moves: list[list[in
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"), v, numbers.lists(dots), pa.nulls(n, pa.int32()) if first else batch.column("cluster"),
-                    pa.array(cluster.astype(np.int32)), pa.array([str(d) for d in own] if numbers.kind == "wide" else own),
+                    pa.array(cluster.astype(np.int32)), pa.array([min(d, MOST) for d in own.tolist()], pa.int64()),
                 ],
                 ["id", "v", "dots", "was", "cluster", "distance"],
             )
@@ -138,8 +138,8 @@ def cluster(
     schema = f"id {rows.schema[id].dataType.simpleString()}, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
     scratch = Scratch(spark, "centroids")
     kept = scratch.keep(rows.select(F.col(id).alias("id"), digits(vector, scale).alias("v")).filter(F.size("v") == width))
-    # The least long has no absolute value; the bound is one larger than need be.
-    reach = F.greatest(F.array_max("v"), -(F.array_min("v") + 1)) + F.lit(0)
+    # The least long has no absolute value; -1 - x stands for it, and one is added below.
+    reach = F.greatest(F.array_max("v"), F.bitwise_not(F.array_min("v")))
     n, most = kept.agg(F.count("*"), F.coalesce(F.max(reach), F.lit(0))).first()
     if n == 0:
         scratch.drop(kept)
@@ -148,7 +148,7 @@ def cluster(
     numbers = _Numbers(most, width)
     order = F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
     now = [list(r["v"]) for r in kept.orderBy(order.asc_nulls_last(), "v").limit(k).select("v").collect()]
-    made = f"id {kept.schema['id'].dataType.simpleString()}, v array<long>, dots array<{numbers.stored}>, was int, cluster int, distance {numbers.stored}"
+    made = f"id {kept.schema['id'].dataType.simpleString()}, v array<long>, dots array<{numbers.stored}>, was int, cluster int, distance long"
 
     def passed(source: DataFrame, columns: list[str], moves: list[list[int]]) -> DataFrame:
         new = scratch.keep(source.select(*columns).mapInArrow(_assigned(numbers, now, moves), made))
@@ -166,13 +166,12 @@ def cluster(
             break
         now = after
         state = passed(state, ["id", "v", "dots", "cluster"], moves)
-    distance = F.col("distance").cast("decimal(38,0)")
-    cut = F.least(distance, F.lit(MOST).cast("decimal(38,0)")).cast("long")
-    totals = {r["cluster"]: int(r["d"]) for r in state.groupBy("cluster").agg(F.sum(distance).alias("d")).collect()}
+    total = F.sum(F.col("distance").cast("decimal(38,0)")).alias("d")
+    totals = {r["cluster"]: int(r["d"]) for r in state.groupBy("cluster").agg(total).collect()}
     facts = spark.createDataFrame(
         [(c, min(d, MOST), min(sum(totals.values()), MOST), digest(now[c])) for c, d in sorted(totals.items())],
         "cluster int, cluster_inertia long, inertia long, centroid_sha256 string",
     )
     # As many rows as centroids.
-    told = state.select("id", "cluster", cut.alias("distance")).join(F.broadcast(facts), "cluster")
+    told = state.select("id", "cluster", "distance").join(F.broadcast(facts), "cluster")
     return told.select(F.col("id").alias(id), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
