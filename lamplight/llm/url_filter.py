@@ -14,8 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Keys a block of 256 bits is made for: about one false hit in two thousand probes.
-KEYS_A_BLOCK = 16
+from lamplight.llm.bloom import bits, blocks_for, filter_of
+
 #: A filter of more blocks (2 MB of bits), or a list of more bytes of keys, is not broadcast.
 MOST_BLOCKS, MOST_BYTES = 1 << 16, 4 << 20
 #: Query parameters that only track where a visit came from.
@@ -52,29 +52,12 @@ def canonical(url: str | Column) -> Column:
     return F.when(host != "", F.concat(host, path, query))
 
 
-def _bits(key: str, blocks: int) -> list[Column]:
-    """The number of the key's block, and its bits in the four longs of it."""
-    places = F.xxhash64(key, F.lit(1))
-
-    def bit(n):
-        return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(places, 6 * n).bitwiseAND(63).cast("int"))
-
-    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block")
-    return [block, *[bit(2 * w).bitwiseOR(bit(2 * w + 1)).alias(f"w{w}") for w in range(4)]]
-
-
-def bloom(keys: DataFrame, blocks: int) -> DataFrame:
-    """(block, w0, w1, w2, w3): the blocks of the filter that hold a key. ``keys`` has a column ``key``."""
-    placed = keys.select(*_bits("key", blocks))
-    return placed.groupBy("block").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(4)])
-
-
 def possible(probes: DataFrame, keys: DataFrame, count: int) -> DataFrame:
     """The rows of ``probes`` whose ``key`` may be one of the ``count`` ``keys``; every one that is, is among them."""
-    blocks = max(1, -(-count // KEYS_A_BLOCK))
-    held = bloom(keys, blocks).select("block", *[F.col(f"w{w}").alias(f"held{w}") for w in range(4)])
+    blocks = blocks_for(count)
+    held = filter_of(keys, blocks)
     held = F.broadcast(held) if blocks <= MOST_BLOCKS else held
-    block, *words = _bits("key", blocks)
+    block, *words = bits("key", blocks)
     met = probes.withColumns({"block": block, **{f"w{i}": w for i, w in enumerate(words)}}).join(held, "block")
     hit = F.expr(" AND ".join(f"(held{w} & w{w}) = w{w}" for w in range(4)))
     return met.filter(hit).select(*probes.columns)

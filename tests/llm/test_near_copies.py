@@ -72,6 +72,27 @@ def test_keeps_one_of_each_group(docs, monkeypatch, few):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(survivors(texts))
 
 
+def test_a_line_of_many_unlike_texts_makes_few_pairs(spark, docs, monkeypatch):
+    """5,000 short texts that share a line which is most of their prefix: without a bound 12 million pairs."""
+    rng = random.Random(11)
+    line = " ".join(f"line{i}" for i in range(60))
+    rows = [(i, f"{line} {' '.join(f'own{i}x{k}' for k in range(rng.randint(14, 40)))}") for i in range(5_000)]
+    made = []
+    verified = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, sets: made.append(pairs.count()) or verified(pairs, sets))
+    got = near_copies.one_of_each(docs(rows)).count()
+    assert got == len(survivors(dict(rows))) == 5_000
+    assert sum(made) < 50_000
+
+
+def test_blocks_of_a_crowded_shingle(docs, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 3)
+    monkeypatch.setattr(near_copies, "FEW", 1e9)
+    texts = dict(enumerate(corpus(random.Random(3))))
+    got = near_copies.one_of_each(docs(list(texts.items())))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(survivors(texts))
+
+
 def test_edges(docs):
     rows = [(5, "same text here now"), (3, "same text here now"), (3, "same text here now"), (None, "Same text here now"), (7, None), (8, "")]
     df = docs(rows)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lamplight.llm import decontamination, packing, repeats, simhash, toxicity, vector_search
+from test_near_copies import survivors
 from test_texts import prose
 
 
@@ -248,17 +249,7 @@ def test_pipeline_by_brute_force(spark, tiny, plain):
     model = toxicity.train(docs, labels)
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     texts = {i: t for i, t in texts.items() if model.score([t])[0] < 0.5}
-    prints = {i: simhash.fingerprint_of(t) for i, t in texts.items()}
-    kept = set(texts)
-    for i in sorted(texts):  # the smallest of each group, found by flooding
-        if i in kept:
-            group, frontier = {i}, [i]
-            while frontier:
-                at = frontier.pop()
-                near = [j for j in texts if j not in group and (prints[at] ^ prints[j]).bit_count() <= 3]
-                group.update(near)
-                frontier += near
-            kept -= group - {i}
+    kept = survivors(texts)  # one of each group of five-word Jaccard similarity 0.8 or more
     bench = [r.text for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
     shingled = [decontamination.shingles(decontamination.words(t)) for t in bench]
     for i in list(kept):
