@@ -11,6 +11,10 @@ from uuid import uuid4
 from pyspark.sql import SparkSession
 
 
+#: Bytes of rows that go to Python at a time, where the session keeps Spark's own default: rows may be long texts.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
 def build_session(app: str = "lamplight", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -21,6 +25,7 @@ def build_session(app: str = "lamplight", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        BATCH_KEY: BATCH_BYTES,
         **conf,
     }
     for key, value in settings.items():
@@ -29,10 +34,13 @@ def build_session(app: str = "lamplight", master: str | None = None, **conf: str
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that tasks find it wherever they run.
+    """Sends this package to the executors once per application, so that tasks find it wherever they run, and bounds
+    the batches they are given.
 
     The archive is the driver's own file; Spark's file server hands it on.
     """
+    if spark.conf.get(BATCH_KEY, None) in (None, "67108864b"):
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     context = spark.sparkContext
     if getattr(context, "_lamplight_shipped", False):
         return
