@@ -48,3 +48,5 @@ class Scratch:
         for df in kept:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        # Spark deletes the shuffle files of what nothing refers to any more when the driver's garbage is collected.
+        self.spark._jvm.System.gc()
