@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 
 #: Bytes of rows that go to Python at a time, where the session keeps Spark's own default: rows may be long texts.
-BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def build_session(app: str = "lamplight", master: str | None = None, **conf: str) -> SparkSession:

@@ -10,7 +10,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-AREAS = ("catalog", "layout", "retrieval", "ingest", "traces")
+AREAS = ("catalog", "layout", "retrieval", "ingest", "traces", "indexes")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
