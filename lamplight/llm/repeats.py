@@ -29,8 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from lamplight.llm.hashing import Hashes, mixed
-from lamplight.llm.tables import text_of
-from lamplight.session import stored
+from lamplight.llm.tables import Scratch, text_of
 
 LENGTH, ANCHOR = 200, 40
 GROUP = 256
@@ -366,15 +365,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
     ``keep_first`` leaves out windows that occur nowhere earlier, documents ordered by id and then uid.
     """
+    # Each table's own shuffles can go once it is written.
+    stored = Scratch(docs.sparkSession, "repeats").keep
     found = docs.select("uid", "id", "bytes").mapInPandas(_occurrences(length, anchor), OCCURRENCES)
     often = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     # Written first: only a join of two plain shuffles can have a hot anchor's side split.
-    often = stored(often, "anchors")
-    repeated = stored(found.join(often, "anchor"), "segments")
+    often = stored(often)
+    repeated = stored(found.join(often, "anchor"))
 
     who = F.struct("id", "uid", "first", "last", "place")
     contents = repeated.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(who).alias("rep"))
-    contents = stored(contents, "contents")
+    contents = stored(contents)
     twice = contents.filter("n > 1")
     # All windows of a segment that occurs twice; to keep the first, of all but the first such segment.
     whole = repeated.join(twice.select("anchor", "content", "rep"), ["anchor", "content"])
@@ -404,7 +405,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     for column in ("back", "ahead"):
         laid = laid.repartitionByRange("anchor", column).sortWithinPartitions("anchor", column)
         laid = laid.mapInPandas(_beside(length, column), ORDERED)
-    laid = stored(laid, "ordered")
+    laid = stored(laid)
     if keep_first:  # what a neighbour shares may be the first copy itself
         laid = laid.withColumns({"low": none, "high": none})
     shared = laid.mapInPandas(_shared(length), MARKS)

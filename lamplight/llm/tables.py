@@ -39,6 +39,7 @@ class Scratch:
         path = f"{self.root}/{self.count}"
         self.count += 1
         df.write.parquet(path)
+        self._settle()
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept
@@ -48,5 +49,7 @@ class Scratch:
         for df in kept:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _settle(self) -> None:
         # Spark deletes the shuffle files of what nothing refers to any more when the driver's garbage is collected.
         self.spark._jvm.System.gc()

@@ -19,6 +19,8 @@ KEPT = 250_000
 #: A word of small Latin letters with one mark after it at most: letters and mark are tokens of their own.
 _SIMPLE = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
 _TOGETHER = 64
+#: Characters of texts that are worked on together.
+TOGETHER = 1 << 21
 
 
 class Encoder:
@@ -99,10 +101,18 @@ class Encoder:
         return text
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Per text its ids, unsigned 32-bit.
-
-        The texts are put in a row, a space after each; equal stretches are found by their hashes, and the ids of the
-        different ones are dealt out to where they stand.
+        """Per text its ids, unsigned 32-bit, about ``TOGETHER`` characters of texts at a time."""
+        out, at, size = [], 0, 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= TOGETHER:
+                out += self._ids(texts[at : i + 1])
+                at, size = i + 1, 0
+        return out + self._ids(texts[at:])
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The texts are put in a row, a space after each; equal stretches are found by their hashes and compared byte by
+        byte, and the ids of the different ones are dealt out to where they stand.
         """
         coded = [self._plain(text).encode("utf-8", "surrogatepass") for text in texts]
         whole = b" ".join([*coded, b""]).replace(b"\n", b" ")
@@ -113,6 +123,14 @@ class Encoder:
         starts = np.r_[0, stops[:-1] + 1]
         _, at, place = np.unique(Hashes(data).of(starts, stops), return_index=True, return_inverse=True)
         stretches = [whole[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())]
+        others = _unlike(data, starts, stops, at[place])
+        if len(others):  # equal hashes, other bytes: these get entries of their own
+            own: dict[bytes, int] = {}
+            for i in others.tolist():
+                stretch = whole[starts[i] : stops[i]]
+                place[i] = own.setdefault(stretch, len(stretches))
+                if own[stretch] == len(stretches):
+                    stretches.append(stretch)
         fresh = self._recall(stretches)
         if fresh:
             self._meet(fresh)
@@ -131,6 +149,29 @@ class Encoder:
         return np.split(ids, last[:-1])
 
 
+def _unlike(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """The stretches whose bytes are not those of the stretch they are said to be like."""
+    size = stops - starts
+    same = size == size[like]
+    asked = np.flatnonzero(same & (like != np.arange(len(like))))
+    # Whole words are compared at once, the last one reaching back over the one before it.
+    wide = np.lib.stride_tricks.as_strided(data, (max(0, len(data) - 7), 8), (1, 1)) if len(data) >= 8 else None
+    bad = [np.flatnonzero(~same)]
+    for long in (False, True):
+        part = asked[(size[asked] >= 8) == long]
+        step = 8 if long else 1
+        count = -(-size[part] // step)
+        row = np.repeat(part, count)
+        inner = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * step
+        if long:
+            inner = np.minimum(inner, size[row] - 8)
+        a, b = starts[row] + inner, starts[like[row]] + inner
+        if len(a):
+            differ = (wide[a] != wide[b]).any(1) if long else data[a] != data[b]
+            bad.append(np.unique(row[differ]))
+    return np.concatenate(bad)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

@@ -54,6 +54,18 @@ TEXTS = [
 ]
 
 
+def test_equal_hashes_of_other_bytes(plain):
+    """A Thue-Morse string and its complement have one polynomial hash modulo 2 ** 64."""
+    from lamplight.llm.tokens import Encoder
+
+    coder = Encoder(packing.tokenizer_path())
+    for size in (1_024, 2_048, 4_096):
+        one = "".join("ab"[i.bit_count() % 2] for i in range(size))
+        texts = [one, one.translate(str.maketrans("ab", "ba")), f"x {one} y", one]
+        for got, text in zip(coder.ids(texts), texts):
+            assert got.tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_ids_are_the_tokenizers(plain):
     from lamplight.llm.tokens import Encoder
 
