@@ -129,10 +129,11 @@ def line_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that have a vector, as chunks of the report of their source."""
+    """All documents as chunks of the report of their source; the given vectors are dealt to them in turn."""
     docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
-    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    rows = docs.join(vectors, "doc_id")
+    given = table(spark, folder, "embeddings")
+    turn = F.col("doc_id") % given.agg(F.max("vec_id") + 1).first()[0]
+    rows = docs.withColumn("vec_id", turn).join(given.select("vec_id", "embedding"), "vec_id")
     return rows.select(
         F.col("doc_id").alias("id"),
         F.col("lang").alias("channel_id"),
@@ -213,7 +214,6 @@ def item_boxes(spark: SparkSession, folder: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus", "l_shipdate",
     )
-    li = li
     left = F.col("l_quantity") * 6.0
     top = F.col("l_partkey") % 700
     return li.select(
@@ -352,7 +352,7 @@ SQL = {
         SELECT doc_id AS id, lang AS channel_id, lang || '/' || source AS report_id,
                doc_id // {CORPUS_PAGE} + 1 AS page_number, doc_id % {CORPUS_PAGE} AS chunk_index,
                text AS content, embedding
-        FROM documents JOIN embeddings ON doc_id = vec_id""",
+        FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT max(vec_id) + 1 FROM embeddings)""",
     "postings": f"""
         SELECT id, channel_id, {sql_token("word")} AS token, sum(n)::DOUBLE AS tf
         FROM (SELECT id, channel_id, word, count(*) AS n

@@ -140,8 +140,7 @@ def _(spark, folder):
 _SHORTENED = """
     again AS (SELECT c.id, c.report_id, c.content,
                      row_number() OVER (PARTITION BY c.report_id ORDER BY c.chunk_index) - 1 AS chunk_index
-              FROM chunks c JOIN labels l ON c.doc_id = l.doc_id
-              WHERE length(c.content) > 100),
+              FROM chunks c JOIN labels l ON c.doc_id = l.doc_id),
     gone AS (SELECT r.id AS report_id FROM reports r JOIN labels l ON r.doc_id = l.doc_id),
     after AS (SELECT report_id, chunk_index, content FROM chunks WHERE report_id NOT IN (SELECT report_id FROM gone)
               UNION ALL SELECT report_id, chunk_index, content FROM again)"""
@@ -159,7 +158,7 @@ def _(spark, folder):
     chunks = view.line_chunks(spark, folder)
     reports = view.reports(spark, folder)
     labelled = view.table(spark, folder, "labels").select("doc_id")
-    again = chunks.join(labelled, "doc_id").where(F.length("content") > 100)
+    again = chunks.join(labelled, "doc_id")
     again = positions.tiled_positions(again, ["report_id"], "page_number", "chunk_index")
     again = again.withColumn("chunk_index", (F.col("pos") - 1).cast("int")).drop("pos")
     gone = reports.join(labelled, "doc_id").select(F.col("id").alias("report_id"))
@@ -479,17 +478,16 @@ def _(spark, folder):
 
 _COUNTS = """
     counts AS (SELECT report_id, count(DISTINCT page_number) AS page_count, count(*) AS chunk_count
-               FROM chunks WHERE length(content) > 200 GROUP BY report_id)"""
+               FROM chunks GROUP BY report_id)"""
 
 
 def _summaries(spark, folder):
-    long_lines = view.line_chunks(spark, folder).where(F.length("content") > 200)
-    return op.report_summaries(view.reports(spark, folder), long_lines)
+    return op.report_summaries(view.reports(spark, folder), view.line_chunks(spark, folder))
 
 
 @query("agg_02_report_counts", with_views(["chunks"], "").rstrip() + f", {_COUNTS} SELECT * FROM counts")
 def _(spark, folder):
-    return op.page_and_chunk_counts(view.line_chunks(spark, folder).where(F.length("content") > 200))
+    return op.page_and_chunk_counts(view.line_chunks(spark, folder))
 
 
 @query(
