@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from lamplight.llm.tables import text_of
+from lamplight.llm.tables import release, text_of
 from lamplight.llm.tokens import encoder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -202,6 +202,7 @@ def sequences(
                     held.clear()
                     items.clear()
         yield rows(pack(items, limits))
+        release()
 
     # Ids travel under other names, so that clashes with the new columns are the caller's to see.
     taken = {c.split()[0] for c in PIECES.split(", ")} & set(ids)

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from lamplight.llm.tables import sampled, text_of
+from lamplight.llm.tables import release, sampled, text_of
 
 WINDOW, STEP, LEAD = 96, 72, 32
 SAMPLE = 4_000
@@ -182,7 +182,9 @@ def score(model: Model, text: str | Column = "text") -> Column:
 
     @pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.score(texts.tolist()))
+        scores = pd.Series(shared.score(texts.tolist()))
+        release()
+        return scores
 
     return scored(text_of(text))
 
