@@ -117,4 +117,4 @@ def stored(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", r"^[a-z]+:/+", "/")
     base = posixpath.normpath("/" + root.split(":", 1)[-1].lstrip("/")) if ":" in root else posixpath.normpath(root)
-    return files.select(F.url_decode(F.replace(F.substring(path, len(base) + 2, 1 << 20), F.lit("+"), F.lit("%2B"))).alias("key"), "content")
+    return files.select(F.substring(path, len(base) + 2, (1 << 31) - 1).alias("key"), "content")
