@@ -113,8 +113,8 @@ def put(rows: DataFrame, root: str) -> None:
 
 
 def stored(spark: SparkSession, root: str) -> DataFrame:
-    """(key, content) of all objects under ``root``."""
+    """(key, content) of the objects under ``root``; Spark's file reader passes over empty ones."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", r"^[a-z]+:/+", "/")
     base = posixpath.normpath("/" + root.split(":", 1)[-1].lstrip("/")) if ":" in root else posixpath.normpath(root)
-    return files.select(F.substring(path, len(base) + 2, (1 << 31) - 1).alias("key"), "content")
+    return files.select(F.substring(path, len(base) + 2, 1 << 20).alias("key"), "content")
