@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -33,9 +35,13 @@ def labelled():
     return texts, marks
 
 
+def training(spark, texts, marks):
+    return spark.createDataFrame([(i, m, t) for i, (t, m) in enumerate(zip(texts, marks))], "doc_id long, toxic int, text string")
+
+
 def test_toxicity_held_out(spark, docs, labelled):
     texts, marks = labelled
-    model = toxicity.train_on([t for t, m in zip(texts[:160], marks) if m], [t for t, m in zip(texts[:160], marks) if not m])
+    model = toxicity.train_on(training(spark, texts[:160], marks))
     assert b"wretched" in model.toxic[: -len(model.ordinary)] and b"wretched" not in model.ordinary
     df = docs(list(enumerate(texts[160:])) + [(90, None), (91, ""), (92, "ro " * 40000), (93, "DOLT vermin")])
     got = {r.doc_id: r.s for r in df.select("doc_id", toxicity.score(model).alias("s")).collect()}
@@ -44,23 +50,57 @@ def test_toxicity_held_out(spark, docs, labelled):
     assert got[90] == got[91] < 0.5 and got[92] < 0.5 <= got[93]
 
 
+def slow_telling(texts, marks):
+    """The words' test one text after the other."""
+    spread, known, size = ({0: Counter(), 1: Counter()}, {0: set(), 1: set()}, Counter(marks))
+    for text, mark in zip(texts, marks):
+        words = ["", *re.findall(r"[^\W\d_]+", text.lower()), ""]
+        fresh = {t for t in zip(words, words[1:], words[2:])} - known[mark]
+        known[mark] |= fresh
+        spread[mark].update({t[1] for t in fresh})
+    n, m = size[1], size[0]
+    tested = [w for w, k in spread[1].items() if k > 1 and k * m > spread[0][w] * n]
+    found = []
+    for w in tested:
+        a, b = spread[1][w], spread[0][w]
+        rate = (a + b) / (n + m)
+        cells = ((a, n * rate), (n - a, n * (1 - rate)), (b, m * rate), (m - b, m * (1 - rate)))
+        g = 2 * sum(x * math.log(x / e) for x, e in cells if x)
+        if rate < 1 and g >= 2 * math.log(len(tested) + 1) + 4 and a * m >= 4 * b * n:
+            found.append(w)
+    return set(found)
+
+
+def test_telling_words_by_brute_force(spark, labelled):
+    texts, marks = labelled
+    texts, marks = texts + texts[:40] + ["", "dolt"], marks + marks[:40] + [0, 1]
+    got = toxicity.telling(training(spark, texts, marks))
+    assert set(got) == slow_telling(texts, marks) >= {"wretched", "dolt", "vermin"} and len(got) == len(set(got))
+    assert toxicity.telling(training(spark, texts[:1], marks[:1])) == []
+
+
 def test_toxicity_trains_from_tables(spark, docs, labelled):
     texts, marks = labelled
-    df = docs(list(enumerate(texts)) + [(None, "x"), (3, None)])
+    df = docs(list(enumerate(texts)) + [(None, "x"), (3, None), (4, texts[4])])
     labels = spark.createDataFrame([(i, 1, m) for i, m in enumerate(marks)] + [(0, 1, marks[0]), (None, 1, 1), (5, 0, None)], "doc_id long, quality int, toxic int")
     model = toxicity.train(df, labels)
     scores = model.score(texts)
     assert ((scores >= 0.5) == np.array(marks, bool)).mean() > 0.95
+    assert toxicity.train(df.repartition(5), labels) == model
     empty = toxicity.train(df, labels.limit(0))
     assert (empty.score(texts[:5]) < 0.5).all()
     assert df.limit(0).select(toxicity.score(model)).count() == 0
 
 
-def test_long_texts_are_read_whole(labelled):
+def test_long_texts_are_read_whole(spark, labelled):
     texts, marks = labelled
-    model = toxicity.train_on([t for t, m in zip(texts, marks) if m], [t for t, m in zip(texts, marks) if not m])
     rng = random.Random(5)
     long = prose(rng, 15000)
+    # Long texts of either class are in training, whole.
+    longer = [f"{prose(rng, 2000)} {t}" if i % 40 in (0, 1) else t for i, t in enumerate(texts)]
+    rows = training(spark, longer, marks)
+    assert {r.text for r in toxicity.training_rows(rows, rows).collect()} == set(longer)
+    model = toxicity.train_on(training(spark, texts, marks))
     assert model.score([long + " wretched dolt vermin"])[0] > model.score([long])[0]
 
 
@@ -81,10 +121,45 @@ def brute_secrets(text):
     return sorted(spans)
 
 
+def slow_pairs(words):
+    counts = np.zeros((secret_scan.SIZE, secret_scan.SIZE), np.int64)
+    for word in words:
+        for a, b in zip(word, word[1:]):
+            counts[secret_scan.ALPHABET.index(a), secret_scan.ALPHABET.index(b)] += 1
+    return counts.ravel()
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 1 << 20])
+def test_pairs_and_means_by_brute_force(monkeypatch, stretch):
+    monkeypatch.setattr(secret_scan, "STRETCH", stretch)
+    rng = random.Random(stretch)
+    ratio = np.random.default_rng(0).normal(size=(secret_scan.SIZE, secret_scan.SIZE))
+    for text in ["", "a", "é", "a.b", "abcdefgh", "ab" * 300] + ["".join(rng.choices("abcXYZ019+/_=-. é\n\U0001f600", k=400)) for _ in range(20)]:
+        words = re.findall(r"[A-Za-z0-9+/_=-]+", text)
+        assert (secret_scan.pairs(text) == slow_pairs(words)).all()
+        found = [np.mean([ratio[secret_scan.CODE[a], secret_scan.CODE[b]] for a, b in zip(w, w[1:])]) for w in words if len(w) >= 8]
+        bins = np.zeros(secret_scan.BINS, np.int64)
+        for mean in found:
+            bins[int((mean - secret_scan.LOW) / (secret_scan.HIGH - secret_scan.LOW) * secret_scan.BINS)] += 1
+        assert np.abs(np.cumsum(secret_scan.means(text, ratio)) - np.cumsum(bins)).max() <= 1  # a mean at the edge of a bin
+
+
+def test_training_adds_up_all_texts(spark, docs, monkeypatch):
+    """Words at the end of a long text and in every row count, caught strings with the other model."""
+    rng = random.Random(4)
+    texts = [" ".join(prose(rng, 1) for _ in range(3000)) + " zzzzqq secret=Ab12Cd34Ef " + "0" * 40, "zzzzqq", "", None, "zzzzqq"]
+    seen = {}
+    monkeypatch.setattr(secret_scan, "ratios", lambda caught, ordinary: seen.update(c=caught, o=ordinary) or np.zeros((secret_scan.SIZE,) * 2))
+    secret_scan.train(docs(list(enumerate(texts))))
+    assert (seen["c"] == slow_pairs(["Ab12Cd34Ef", "0" * 40])).all()
+    assert (seen["o"] == slow_pairs([*texts[0].replace("secret=Ab12Cd34Ef", "").replace("0" * 40, "").split(), "zzzzqq", "zzzzqq"])).all()
+
+
 def test_secrets(spark, docs):
     rng = random.Random(1)
-    words = [prose(rng, 1) + prose(rng, 1) for _ in range(500)]
-    model = secret_scan.train_on([], words)
+    words = " ".join(prose(rng, 1) + prose(rng, 1) for _ in range(500))
+    ratio = secret_scan.ratios(np.zeros(secret_scan.SIZE**2), secret_scan.pairs(words))
+    model = secret_scan.calibrated(ratio, secret_scan.means(words, ratio))
     df = docs(list(enumerate(SECRETS)) + [(3, SECRETS[3])])
     for row in df.select("text", secret_scan.find(model).alias("s")).collect():
         got = [(s.start, s.rank, s.end, s.kind) for s in row.s if s.kind in secret_scan.BASE]
@@ -92,8 +167,10 @@ def test_secrets(spark, docs):
     key = "".join(rng.choices(secret_scan.ALPHABET[:62], k=40))
     found = model.spans(f"use {key} now {'tarokensulponive' * 2}1")
     assert [(s, e) for s, _, e, k in found if k == "random"] == [(4, 44)]
-    right = sum(bool(model.spans("".join(rng.choices(secret_scan.ALPHABET[:62], k=40)))) for _ in range(200))
-    assert right > 190
+    drawn = lambda letters, n: sum(bool(model.spans("".join(rng.choices(letters, k=n)))) for _ in range(200))
+    assert drawn(secret_scan.ALPHABET[:62], 40) > 190
+    assert drawn(secret_scan.ALPHABET[:52], 16) > 190  # short ones, and ones without a digit, are judged too
+    assert not [s for s in model.spans(" ".join(prose(rng, 1) for _ in range(2000))) if s[3] == "random"]
     trained = secret_scan.train(df)
     assert df.limit(0).select(secret_scan.find(trained)).count() == 0 and secret_scan.train(df.limit(0)).bar > 0
 
