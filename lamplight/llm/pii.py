@@ -84,9 +84,45 @@ def _holds(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _near(text: Column, start: Column, kind: str) -> Column:
-    first = F.greatest(start - CONTEXT, F.lit(0))
-    return F.lower(text.substr(first + 1, start - first)).rlike(CONTEXT_WORDS[kind])
+#: Length of the pieces that a text is cut into, so that a look at some place of it does not start at its first character.
+PIECE = 256
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often its lambdas look at it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _between(pieces: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end``, from the pieces that hold it."""
+    first = F.floor(start / PIECE).cast("int")
+    count = F.floor((end - 1) / PIECE).cast("int") - first + 1
+    held = F.array_join(F.slice(pieces, first + 1, F.greatest(count, F.lit(0))), "")
+    return F.when(end > start, held.substr(start - first * PIECE + 1, end - start)).otherwise("")
+
+
+def _running(values: Column, add) -> Column:
+    """Of each place the fold of all whole numbers before it (0 at first). Blocks of about the root of the number of values
+    are folded, then the places within each, so that no long array is copied for every value."""
+    chain = lambda first, more: F.aggregate(
+        more, F.array(first), lambda s, v: F.concat(s, F.array(add(F.element_at(s, -1), v)))
+    )
+
+    def blocks_of(all_values):
+        width = F.ceil(F.sqrt(F.size(all_values))).cast("int")
+        last = F.floor((F.size(all_values) - 1) / width).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(all_values, i * width + 1, width))
+
+    def placed(blocks):
+        heads = chain(F.lit(0), F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), add)))
+        pairs = F.arrays_zip(F.slice(heads, 1, F.size(blocks)).alias("head"), blocks.alias("block"))
+        return F.flatten(F.transform(pairs, lambda p: F.slice(chain(p["head"], p["block"]), 1, F.size(p["block"]))))
+
+    return F.when(F.size(values) > 0, _let(_let(values, blocks_of), placed)).otherwise(F.array().cast("array<int>"))
 
 
 def find(df: DataFrame, text: str = "text", to: str = "pii") -> DataFrame:
@@ -122,23 +158,22 @@ def _placed(body: Column, kind: str, matches: Column, none: Column) -> Column:
     pairs = F.arrays_zip(F.slice(between, 1, F.size(matches)).alias("gap"), matches.alias("hit"))
     empty = F.array().cast(f"array<{_SPAN}>")
 
-    def step(state, pair):
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        score = F.lit(SCORES[kind]) + F.when(_near(body, start, kind), LIFT).otherwise(0.0)
-        span = F.struct(
-            start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"),
-            score.alias("score"),
-        )
-        keep = _holds(kind, pair["hit"])
-        if kind not in BASE:
-            keep = keep & (score >= LEAST_SCORE)
+    def span(pieces, start, gap, hit):
+        start = start + F.length(gap)
+        near = F.lower(_between(pieces, F.greatest(start - CONTEXT, F.lit(0)), start)).rlike(CONTEXT_WORDS[kind])
         return F.struct(
-            end.alias("at"), F.when(keep, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out")
-        )
+            start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start + F.length(hit)).alias("end"),
+            F.lit(kind).alias("kind"), (F.lit(SCORES[kind]) + F.when(near, LIFT).otherwise(0.0)).alias("score"),
+        )
 
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(empty)
+    def spans(found):
+        lengths = F.transform(found, lambda p: F.length(p["gap"]) + F.length(p["hit"]))
+        rows = F.arrays_zip(found["gap"].alias("gap"), found["hit"].alias("hit"), _running(lengths, lambda a, b: a + b).alias("before"))
+        held = F.filter(rows, lambda p: _holds(kind, p["hit"]))
+        out = _let(_pieces(body), lambda pieces: F.transform(held, lambda p: span(pieces, p["before"], p["gap"], p["hit"])))
+        return out if kind in BASE else F.filter(out, lambda s: s["score"] >= LEAST_SCORE)
+
+    return F.when(F.size(matches) > 0, _let(pairs, spans)).otherwise(empty)
 
 
 def listed(spans: Column) -> Column:
@@ -157,16 +192,17 @@ def redact(df: DataFrame, text: str = "text", least: float = 0.0) -> DataFrame:
     found = find(df, text, hidden)
     body = F.col(text)
 
-    def step(state, span):
-        fresh = span["start"] >= state["at"]
-        kept = body.substr(state["at"] + 1, span["start"] - state["at"])
-        out = F.when(
-            fresh, F.concat(state["out"], kept, F.lit("<"), span["kind"], F.lit(">"))
-        ).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), out.alias("out"))
+    def step(pieces, span, at):
+        kept = _between(pieces, at, span["start"])
+        return F.when(span["start"] >= at, F.concat(kept, F.lit("<"), span["kind"], F.lit(">"))).otherwise("")
+
+    def sweep(pieces, spans):
+        ends = F.transform(spans, lambda s: s["end"])
+        rows = F.arrays_zip(spans.alias("span"), _running(ends, lambda a, b: F.greatest(a, b)).alias("at"))
+        swept = F.array_join(F.transform(rows, lambda r: step(pieces, r["span"], r["at"])), "")
+        return F.concat(swept, _between(pieces, F.array_max(ends), F.length(body)))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda s: F.concat(s["out"], body.substr(s["at"] + 1, F.length(body)))
     chosen = F.filter(F.col(hidden), lambda s: s["score"] >= least)
-    swept = F.when(F.size(chosen) > 0, F.aggregate(chosen, start, step, rest)).otherwise(body)
+    whole = _let(_pieces(body), lambda pieces: _let(chosen, lambda spans: sweep(pieces, spans)))
+    swept = F.when(F.size(chosen) > 0, whole).otherwise(body)
     return found.withColumn(text, swept).select(*df.columns)

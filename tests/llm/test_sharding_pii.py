@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -113,6 +114,32 @@ def test_redact(spark, docs):
     assert [r.text for r in got.orderBy("doc_id").collect()] == ["to <email> and <ip>!", None, "", "+<card> x"]
 
 
+def test_many_spans_in_one_text(spark, docs):
+    """Offsets, context and replacement over many pieces of text; the time bound would not hold for square work."""
+    part = "é mail a.b@c.de, phone 😀 +49 30 1234-5678; 10.0.0.1 x" + "lorem " * 9
+    text = part * 5400  # 16,200 base spans
+    began = time.monotonic()
+    row = pii.find(docs([(0, text)])).collect()[0]
+    assert [f"{s.kind}:{s.start}:{s.end}" for s in row.pii if s.kind in pii.BASE] == brute(text)
+    for s in row.pii:
+        near = re.search(pii.CONTEXT_WORDS[s.kind], text[max(0, s.start - pii.CONTEXT) : s.start].lower())
+        assert s.score == pii.SCORES[s.kind] + (pii.LIFT if near else 0.0)
+    clean = pii.redact(docs([(0, text)])).collect()[0].text
+    assert clean == ("é mail <email>, phone 😀 <phone>; <ip> x" + "lorem " * 9) * 5400
+    assert time.monotonic() - began < 60
+
+
+def test_spans_at_edges_of_pieces(spark, docs):
+    sizes = [1, 2, 3, 10, 255, 256, 257, 700]
+    texts = ["y" * (n - 1) + " a@b.co" + " " * n + "+49 30 12345678" + "z" * n for n in sizes]
+    df = docs(list(enumerate(texts)))
+    for row in pii.find(df).collect():
+        got = [f"{s.kind}:{s.start}:{s.end}" for s in row.pii]
+        assert got == brute(row.text) and len(got) == 2
+    for row in pii.redact(df).collect():
+        assert row.text == texts[row.doc_id].replace("a@b.co", "<email>").replace("+49 30 12345678", "<phone>")
+
+
 def test_no_python_in_the_plan(spark, docs):
     df = docs([(1, "a@b.co")])
     for made in (pii.find(df), pii.redact(df), sharding.place(df, ["doc_id"], ["a", "b"], 11)):
