@@ -1,10 +1,11 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, searched with block-max WAND.
 
 Every text is cut into overlapping passages of words, long enough that a copied item lies whole in one of them. A passage
-queries the index: impacts are scaled by each item's score against itself, so that one threshold holds for all, and WAND
-with the maxima of blocks of postings skips items that cannot reach it. All items above the threshold are then verified on
-five-word shingles: of the question and of the answer (an item's last sentence) it is counted how much the passage
-holds, and ``SIMILARITY`` of the whole must be there.
+queries the index: impacts are scaled by each entry's score against itself, so that one threshold holds for all, and WAND
+with the maxima of blocks of postings skips entries that cannot reach it. The entries of an item are its whole, its question
+and its answer (its last sentence), the latter two where they have ``LEAST`` shingles. All entries above the threshold are
+then verified on five-word shingles: an item is found where a passage holds ``SIMILARITY`` of an entry's own, so a document
+that has only the question or only the answer is found too.
 
 The index is broadcast. Its size is bounded: items beyond ``PART_BYTES`` of text are indexed in further parts, each of which
 all texts meet.
@@ -27,6 +28,8 @@ from lamplight.llm.tables import text_of
 
 WORDS = 5
 SIMILARITY = 0.8
+#: Shingles that a question or an answer needs to tell by itself; shorter ones could be met by chance.
+LEAST = 8
 THRESHOLD = 0.5
 BLOCK = 16
 K1, B = 1.2, 0.75
@@ -62,7 +65,8 @@ def parts(text: str) -> tuple[str, str]:
 
 @dataclass
 class Index:
-    """``postings``: of a term the items by number, their impacts, and the ends and maxima of its blocks."""
+    """``postings``: of a term the entries by number, their impacts, and the ends and maxima of its blocks. ``owner``: the
+    item of an entry. Document frequencies and the mean length are those of the items."""
 
     texts: list[str]
     threshold: float = THRESHOLD
@@ -72,6 +76,16 @@ class Index:
         tokens = [words(t) for t in self.texts]
         n, mean = len(tokens), sum(map(len, tokens)) / max(1, len(tokens)) or 1.0
         spread = Counter(w for t in tokens for w in set(t))
+        self.longest = max(map(len, tokens), default=0)
+        self.shingles = [tuple(map(shingles, (t, *map(words, parts(text))))) for t, text in zip(tokens, self.texts)]
+        self.owner = list(range(n))
+        self.own = [whole for whole, _, _ in self.shingles]
+        for item, text in enumerate(self.texts):
+            for part, held in zip(parts(text), self.shingles[item][1:]):
+                if len(held) >= LEAST:
+                    tokens.append(words(part))
+                    self.owner.append(item)
+                    self.own.append(held)
         idf = {w: math.log(1 + (n - k + 0.5) / (k + 0.5)) for w, k in spread.items()}
         impacts: dict[str, list] = {}
         for item, own in enumerate(tokens):
@@ -86,11 +100,9 @@ class Index:
                 [i for i, _ in rows], [x for _, x in rows], [c[-1][0] for c in cut], [max(x for _, x in c) for c in cut],
                 max(x for _, x in rows),
             )
-        self.longest = max(map(len, tokens), default=0)
-        self.shingles = [tuple(map(shingles, (t, *map(words, parts(text))))) for t, text in zip(tokens, self.texts)]
-        # Of each item the commonest terms, as far as they lift it to half of the threshold, are left to the search: a
-        # passage that reaches the threshold has the other half from the item's remaining terms.
-        self.need = np.full(n, self.threshold)
+        # Of each entry the commonest terms, as far as they lift it to half of the threshold, are left to the search: a
+        # passage that reaches the threshold has the other half from the entry's remaining terms.
+        self.need = np.full(len(tokens), self.threshold)
         kept: dict[str, list[int]] = {}
         for item, own in enumerate(tokens):
             lifted = 0.0
@@ -109,7 +121,7 @@ class Index:
         self.weight = np.array([x for r in weights for x in r], float)
 
     def search(self, terms: set[str]) -> list[tuple[int, float]]:
-        """All items whose scaled score reaches the threshold: WAND with block maxima."""
+        """All entries whose scaled score reaches the threshold: WAND with block maxima."""
         lists = [[0, *self.postings[w]] for w in sorted(terms) if w in self.postings]
         found = []
         while lists:
@@ -151,7 +163,7 @@ class Index:
         return found
 
     def passages(self, tokens: list[str]) -> list[tuple[int, int]]:
-        """Spans of the overlapping passages in which some item may reach the threshold by its less common terms.
+        """Spans of the overlapping passages in which some entry may reach the threshold by its less common terms.
 
         A passage is two neighbouring stretches, each as long as the longest item.
         """
@@ -175,27 +187,30 @@ class Index:
         reached = np.unique(np.maximum(key[cut][sums >= self.need[key[cut] % n] - 1e-9] // n, 0))
         return [(int(s) * step, min(len(tokens), int(s + 2) * step)) for s in reached]
 
-    def verify(self, item: int, held: set) -> tuple[float, float, float]:
+    def verify(self, entry: int, held: set) -> tuple[bool, float, float]:
+        """Whether the entry is there, and the shares of its item's question and answer that are."""
         share = lambda own: len(own & held) / len(own) if own else 1.0
-        whole, question, answer = self.shingles[item]
-        return share(whole) if whole else 0.0, share(question), share(answer)
+        _, question, answer = self.shingles[self.owner[entry]]
+        own = self.own[entry]
+        return bool(own) and share(own) >= SIMILARITY, share(question), share(answer)
 
     def items_in(self, text: str) -> list[dict]:
-        """The items that a text holds, each with its best score and the shares of question and answer that are there."""
+        """The items that a text holds, each with its best score and the shares of question and answer in that passage."""
         tokens = words(text)
         best: dict[int, dict] = {}
         for start, end in self.passages(tokens):
             own = tokens[start:end]
             hits = self.search(set(own))
             held = None
-            for item, score in hits:
-                width = len(next(iter(self.shingles[item][0]), ()))
+            for entry, score in hits:
+                item = self.owner[entry]
+                width = len(next(iter(self.own[entry]), ()))
                 if width < WORDS:  # an item of fewer words is one shingle of its own width
                     present = shingles(own, width)
                 else:
                     held = present = shingles(own) if held is None else held
-                whole, question, answer = self.verify(item, present)
-                if whole >= SIMILARITY and (item not in best or best[item]["score"] < score):
+                there, question, answer = self.verify(entry, present)
+                if there and (item not in best or best[item]["score"] < score):
                     best[item] = {"item": item, "score": score, "question": question, "answer": answer}
         return [best[i] for i in sorted(best)]
 

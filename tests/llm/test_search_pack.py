@@ -229,18 +229,26 @@ def test_wand_finds_all(items):
         assert {i for i, s in sums.items() if s >= 0.5 - 1e-9} == {i for i, _ in index.search(own)}
 
 
+def holds(text, item):
+    """Whether 0.8 of the shingles of an item, or of a question or answer with at least eight, are in a text."""
+    held = decontamination.shingles(decontamination.words(text))
+    whole, *halves = [decontamination.shingles(decontamination.words(t)) for t in (item, *decontamination.parts(item))]
+    return any(s and len(s & held) / len(s) >= 0.8 for s in [whole, *[h for h in halves if len(h) >= 8]])
+
+
 def test_decontamination(spark, docs, items, monkeypatch):
     rng = random.Random(7)
     rows = [(None, items[0]), (1, None), (2, ""), (3, prose(rng, 3000) + " " + items[3].upper() + " " + prose(rng, 3000))]
     rows += [(4, items[4] + items[5]), (4, items[4] + items[5]), (6, prose(rng, 500)), (7, items[6][: len(items[6]) // 2])]
+    question, answer = next(decontamination.parts(t) for t in items if len(decontamination.words(decontamination.parts(t)[1])) >= 12)
+    rows += [(8, f"{prose(rng, 400)} {question} {prose(rng, 400)}"), (9, f"{prose(rng, 400)} {answer} {prose(rng, 400)}")]
     rows += [(100 + i, f"{prose(rng, rng.randint(0, 300))} {rng.choice(items)} {prose(rng, rng.randint(0, 300))}") for i in range(40)]
     bench = spark.createDataFrame([*enumerate(items), (0, items[0]), (None, None), (77, ""), (78, "!!")], "item_id long, text string")
     df = docs(rows)
-    shingled = [decontamination.shingles(decontamination.words(t)) for t in items]
     expected = Counter()
     for i, t in rows:
-        held = decontamination.shingles(decontamination.words(t or ""))
-        expected.update((i, k) for k, s in enumerate(shingled) if len(s & held) / len(s) >= 0.8)
+        expected.update((i, k) for k, item in enumerate(items) if holds(t or "", item))
+    assert {8, 9} <= {i for i, _ in expected}
     for size in (decontamination.PART_BYTES, 500):
         monkeypatch.setattr(decontamination, "PART_BYTES", size)
         got = decontamination.matches(df, bench).collect()
@@ -263,11 +271,7 @@ def test_pipeline_by_brute_force(spark, tiny, plain):
     texts = {i: t for i, t in texts.items() if model.score([t])[0] < 0.5}
     kept = survivors(texts)  # one of each group of five-word Jaccard similarity 0.8 or more
     bench = [r.text for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
-    shingled = [decontamination.shingles(decontamination.words(t)) for t in bench]
-    for i in list(kept):
-        held = decontamination.shingles(decontamination.words(texts[i]))
-        if any(len(s & held) / len(s) >= 0.8 for s in shingled):
-            kept.discard(i)
+    kept = {i for i in kept if not any(holds(texts[i], item) for item in bench)}
     left = docs.filter(F.col("doc_id").isin(sorted(kept)))
     redacted = {r.doc_id: r.text for r in pii.redact(left).collect()}
     text_ids = {i: [*plain.encode(t, add_special_tokens=False).ids, 1] for i, t in redacted.items()}
