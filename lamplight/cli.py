@@ -12,13 +12,24 @@ from lamplight.operators import catalog
 from lamplight.plans import search
 from lamplight.service import Service, checked_uuid
 from lamplight.session import build_session
-from lamplight.settings import Settings
+from lamplight.settings import ExtractOptions, Settings
 from lamplight.sources import extract, files
+from lamplight.sources.pdf import PdfText
 from lamplight.sources.warehouse import Warehouse
 
 
+#: Switches of an ingest, and the option each turns off.
+SWITCHES = {
+    "tables": "extract_tables",
+    "figures": "extract_figures",
+    "formulas": "extract_formulas",
+    "ocr": "ocr_fallback",
+    "captions": "figure_captioning",
+}
+
+
 class PlainText:
-    """Reads the file's bytes as UTF-8 text. Stands in until a PDF extractor is plugged in."""
+    """Reads the file's bytes as UTF-8 text, for files that only carry the name of a PDF."""
 
     tag = "plain-text"
 
@@ -47,6 +58,10 @@ def parser() -> argparse.ArgumentParser:
     ingest.add_argument("--title", default="")
     ingest.add_argument("--meta", action="append", default=[], metavar="KEY=VALUE")
 
+    ingest.add_argument("--stop-on-error", action="store_true", help="leave out the files after the first unreadable one")
+    for name in SWITCHES:
+        ingest.add_argument(f"--no-{name}", action="store_true")
+
     query = commands.add_parser("query")
     query.add_argument("text")
     query.add_argument("--channel-id", required=True)
@@ -93,8 +108,10 @@ def run(service: Service, args: argparse.Namespace) -> int:
     elif args.command == "ingest":
         channel = checked_uuid(spark, args.channel_id, "--channel-id")
         result = service.ingest_path(
-            args.path, channel, recursive=args.recursive, title=args.title, metadata=pairs(spark, args.meta)
-        )
+            args.path, channel, recursive=args.recursive, title=args.title, metadata=pairs(spark, args.meta),
+            options=ExtractOptions(**{option: not getattr(args, f"no_{name}") for name, option in SWITCHES.items()}),
+            stop_on_error=args.stop_on_error,
+        )
         done = result.stats.select("report_id", F.lit("succeeded").alias("status"))
         lost = result.rejects.select("filename", F.lit("failed").alias("status"), "fault")
         for row in lost.toLocalIterator():
@@ -127,7 +144,7 @@ def run(service: Service, args: argparse.Namespace) -> int:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = build_session()
-    service = Service(Warehouse(spark, args.root, Settings.from_env()), extractor=PlainText())
+    service = Service(Warehouse(spark, args.root, Settings.from_env()), extractor=PdfText())
     try:
         return run(service, args)
     except (ValueError, LookupError, FileExistsError) as error:

@@ -25,10 +25,10 @@ from lamplight.settings import DEFAULTS, ExtractOptions, Settings
 NO_VECTORS = "embedder returned the wrong number of vectors"
 
 
-def packed_documents(docs: DataFrame, items: Column) -> DataFrame:
+def packed_documents(docs: DataFrame, items: Column, boxed: bool = False) -> DataFrame:
     """``docs`` plus blocks, packed chunks and languages, still one row per document."""
     return (
-        extract.with_blocks(docs, items)
+        extract.with_blocks(docs, items, boxed)
         .withColumn("detected_languages", extract.languages_of_blocks(F.col("blocks")))
         .withColumn("packed", pack(F.col("blocks")))
     )
@@ -159,12 +159,14 @@ def ingest_documents(
     embedder: Embedder,
     extractor: str,
     now: Column | None = None,
+    boxed: bool = False,
 ) -> IngestResult:
     """Upsert the reports of ``docs``, replace their chunks, return what happened.
 
     ``docs`` has seq, channel_id, filename, title, metadata and whatever ``items``
-    reads; a non-null ``fault`` column sends a row to the rejects instead. Running it
-    twice leaves the same tables as running it once.
+    reads; a non-null ``fault`` column sends a row to the rejects instead. ``boxed``: the
+    items have boxes, which go to the chunks. Running it twice leaves the same tables as
+    running it once.
     """
     now = F.current_timestamp() if now is None else now
     stem = text.file_stem(F.col("filename"))
@@ -189,7 +191,7 @@ def ingest_documents(
     # Extraction is the costly step: its result is written once, and the chunks, the
     # replaced reports and the statistics read the columns they need from there.
     kept = ["channel_id", "report_id", "filename", "blocks", "detected_languages", "packed"]
-    packed = stored(packed_documents(good, items).select(*kept), "packed")
+    packed = stored(packed_documents(good, items, boxed).select(*kept), "packed")
     rows = chunk_rows(packed.drop("filename"))
     table = chunk_table(embedded(rows, embedder), extractor, now)
     deleted = store.replace_chunks(table, packed.select("channel_id", "report_id"))
@@ -207,10 +209,15 @@ def ingest_files(
     recursive: bool = False,
     title: str = "",
     metadata: dict[str, str] | None = None,
+    options: ExtractOptions = ExtractOptions(),
+    stop_on_error: bool = False,
 ) -> IngestResult:
     """Every PDF under ``path`` into one channel; unreadable files become rejects.
 
     ``title`` applies when ``path`` is one file; in a folder each file keeps its stem.
+    ``options`` turn kinds of items off. ``stop_on_error`` leaves out the files whose path
+    comes after that of the first unreadable one. An extractor with ``parse`` is run once,
+    its items and faults are written and read from there.
     """
     single = path.lower().endswith(".pdf")
     found = files.validate(files.pdf_files(store.spark, path, recursive))
@@ -226,7 +233,18 @@ def ingest_files(
         "size_bytes",
         "header_hex",
     )
-    return ingest_documents(store, docs, extractor.items(F.col("content")), embedder, extractor.tag)
+    boxed = hasattr(extractor, "parse")
+    if boxed:
+        parsed = extractor.parse(F.when(F.col("fault").isNull(), F.col("content")))
+        docs = stored(docs.withColumn("parsed", parsed).drop("content"), "parsed")
+        docs = docs.withColumn("fault", F.coalesce("fault", "parsed.fault"))
+    if stop_on_error:
+        first = docs.where(F.col("fault").isNotNull()).agg(F.min("seq")).first()[0]
+        docs = docs if first is None else docs.where(F.col("seq") <= first)
+    items = F.col("parsed.items") if boxed else extractor.items(F.col("content"))
+    return ingest_documents(
+        store, docs, extract.wanted_items(items, options), embedder, extractor.tag, boxed=boxed
+    )
 
 
 def ingest_message(stats: DataFrame, latency_ms: int | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from lamplight.functions.providers import Embedder, LexicalEmbedder, OverlapRera
 from lamplight.operators import catalog
 from lamplight.plans import ingest, search
 from lamplight.sources import extract, files
+from lamplight.settings import ExtractOptions
 from lamplight.sources.warehouse import Warehouse
 
 
@@ -105,7 +106,7 @@ class Service:
 
     def ingest_path(
         self, path: str, channel_id: str, *, recursive: bool = False, title: str = "",
-        metadata: dict[str, str] | None = None,
+        metadata: dict[str, str] | None = None, options: ExtractOptions = ExtractOptions(), stop_on_error: bool = False,
     ) -> ingest.IngestResult:
         if self.extractor is None:
             raise RuntimeError("no extractor for PDF files is configured")
@@ -113,7 +114,7 @@ class Service:
             raise LookupError(f"no channel {channel_id}")
         return ingest.ingest_files(
             self.store, path, channel_id, self.extractor, self.embedder,
-            recursive=recursive, title=title, metadata=metadata,
+            recursive=recursive, title=title, metadata=metadata, options=options, stop_on_error=stop_on_error,
         )
 
     def ingest_rows(self, docs: DataFrame, items: Column, tag: str) -> ingest.IngestResult:

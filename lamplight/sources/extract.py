@@ -1,7 +1,7 @@
 """Documents to layout items and blocks, inside the row that holds the document.
 
-HTML pages and plain texts are the sources at hand; a PDF extractor plugs in as a
-provider that yields the same array of items.
+HTML pages and plain texts are read here, PDF files in ``pdf``; any other extractor
+plugs in as a provider that yields the same array of items.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from lamplight import schemas
 from lamplight.functions import text
 from lamplight.operators.layout import item_kind
 from lamplight.operators.rows import exploded
+from lamplight.settings import ExtractOptions
 
 # Page length of sources that have no pages of their own.
 HTML_PAGE_ITEMS = 8
@@ -113,8 +114,17 @@ def item_rows(docs: DataFrame, items: Column) -> DataFrame:
     )
 
 
-def with_blocks(docs: DataFrame, items: Column) -> DataFrame:
-    """``docs`` plus ``blocks``: worded, normalised items as the array the packer takes.
+def wanted_items(items: Column, options: ExtractOptions) -> Column:
+    """Items without the kinds that the options turn off."""
+    switches = {
+        "table": options.extract_tables, "figure": options.extract_figures, "formula": options.extract_formulas
+    }
+    off = [kind for kind, on in switches.items() if not on]
+    return F.filter(items, lambda x: ~F.coalesce(item_kind(x["class_name"]).isin(off), F.lit(False))) if off else items
+
+
+def with_blocks(docs: DataFrame, items: Column, boxed: bool = False) -> DataFrame:
+    """``docs`` plus ``blocks``: worded, normalised items as the array the packer takes, with the items' boxes if ``boxed``.
 
     Everything an element needs is zipped to it: an expression captured by a lambda
     would be computed again for every element.
@@ -136,7 +146,7 @@ def with_blocks(docs: DataFrame, items: Column) -> DataFrame:
                 z["words"].alias("content"),
                 n.alias("reading_order"),
                 page.alias("page_number"),
-                F.lit(None).cast(schemas.BOX).alias("bbox"),
+                (z["item"]["bbox"] if boxed else F.lit(None)).cast(schemas.BOX).alias("bbox"),
             ),
         )
 
