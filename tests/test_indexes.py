@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,26 @@ def test_failed_job_leaves_no_object(spark, tmp_path, key="../up"):
     with pytest.raises(Exception, match="not an object key"):
         objects.put(rows, root)
     assert not any(p.is_file() for p in Path(root).rglob("*"))
+
+
+def test_commit_names_attempts_and_tasks_move(spark, tmp_path):
+    root = str(tmp_path / "store")
+    writer = objects.ObjectWriter(root, "job")
+    put = writer.write(iter([{"key": f"a/{i}", "content": b"x" * i} for i in range(50)]))
+    assert vars(put) == {"attempt": put.attempt}  # what goes through the driver does not grow with the objects
+    writer.commit([put])
+    assert not (Path(root) / "a").exists()
+    parts = [pd.DataFrame({"attempt": [put.attempt]})]
+    for _ in range(2):  # a task run again finds its objects moved
+        assert [int(p["moved"][0]) for p in objects._published(root, iter(parts))] == [50]
+    assert sorted(p.name for p in (Path(root) / "a").iterdir()) == sorted(map(str, range(50)))
+
+
+def test_objects_by_key(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = [("a/1", b""), ("a/b/2", b"two"), ("c", b"three")]
+    objects.put(spark.createDataFrame(rows, objects.SCHEMA), root)
+    asked = spark.createDataFrame([*rows, ("a/none", b"")], objects.SCHEMA).select("key", F.lit(1).alias("n"))
+    got = {r["key"]: r["content"] if r["content"] is None else bytes(r["content"]) for r in objects.fetch(asked, root).collect()}
+    assert got == {**dict(rows), "a/none": None}
+    assert {(r["key"], r["size"]) for r in objects.listed(spark, root).collect()} == {("a/1", 0), ("a/b/2", 3), ("c", 5)}
