@@ -207,3 +207,20 @@ def test_objects_by_key(spark, tmp_path):
     got = {r["key"]: r["content"] if r["content"] is None else bytes(r["content"]) for r in objects.fetch(asked, root).collect()}
     assert got == {**dict(rows), "a/none": None}
     assert {(r["key"], r["size"]) for r in objects.listed(spark, root).collect()} == {("a/1", 0), ("a/b/2", 3), ("c", 5)}
+
+
+def test_sessions_share_the_state_of_their_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "BUCKETS", 2)
+    folder, state, out = (str(tmp_path / x) for x in ("events", "state", "out"))
+    rows = [(i, i % 7, "login", at(i % 50), at(i % 50 + 8)) for i in range(900)]
+    rows += [(i, i % 7, "logout", at(i % 50 + 3), None) for i in range(0, 900, 3)]
+    for n in range(3):
+        spark.createDataFrame(rows[n::3], live.EVENTS).write.mode("append").parquet(folder)
+        live.run(spark, folder, state, out, "60 hours")
+    states = spark.read.format("statestore").option("stateVarName", "bucket").load(state)
+    assert states.count() == 2  # one for each bucket, none for a session
+    spark.createDataFrame([(-1, None, "tick", at(30 + 60), None)], live.EVENTS).write.mode("append").parquet(folder)
+    got = {r["session_id"]: (r["state"], r["user_id"], r["login_at"], r["closed_at"]) for r in live.run(spark, folder, state, out, "60 hours").collect()}
+    want = {i: ("ended", i % 7, at(i % 50), at(i % 50 + 3)) for i in range(0, 900, 3)}
+    want |= {i: ("expired", i % 7, at(i % 50), at(i % 50 + 8)) for i in range(900) if i % 3 and i % 50 + 8 < 30}
+    assert got == want and spark.read.parquet(out).count() == len(want)
