@@ -191,10 +191,13 @@ def ingest_documents(
     # Extraction is the costly step: its result is written once, and the chunks, the
     # replaced reports and the statistics read the columns they need from there.
     kept = ["channel_id", "report_id", "filename", "blocks", "detected_languages", "packed"]
-    packed = stored(packed_documents(good, items, boxed).select(*kept), "packed")
-    rows = chunk_rows(packed.drop("filename"))
+    # Of the blocks only the pages are read again, their words are in the chunks.
+    pages = F.transform(F.array_distinct(F.transform("blocks", lambda b: b["page_number"])), lambda p: F.struct(p.alias("page_number")))
+    packed = stored(packed_documents(good, items, boxed).select(*kept).withColumn("blocks", pages), "packed")
+    # Dealt to the folders before they are embedded: their vectors are longer than they are.
+    rows = store.dealt("report_chunks", store.with_bucket(chunk_rows(packed.drop("filename"))))
     table = chunk_table(embedded(rows, embedder), extractor, now)
-    deleted = store.replace_chunks(table, packed.select("channel_id", "report_id"))
+    deleted = store.replace_chunks(table, packed.select("channel_id", "report_id"), again=True, dealt=True)
     stats = ingest_stats(packed, embedder, extractor, store.settings)
     return IngestResult(stats, rejects, deleted)
 

@@ -81,5 +81,5 @@ def stored(df, name: str = "stage"):
     """``df`` written to the shared folder and read back, so later uses read only the
     columns they need instead of computing it again."""
     folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -53,16 +53,20 @@ class Warehouse:
         shaped = rows.select(*names)
         return shaped if table in schemas.PARTITIONS else shaped.withColumn(WHOLE, F.lit(0))
 
-    def overwrite(self, table: str, rows: DataFrame) -> None:
-        """Replace the partitions that ``rows`` touch, all at the job's commit."""
+    def dealt(self, table: str, rows: DataFrame) -> DataFrame:
+        """Groups a partition's rows but splits a partition that is too large."""
+        return rows.hint("rebalance", *self._keys(table))
+
+    def overwrite(self, table: str, rows: DataFrame, dealt: bool = False) -> None:
+        """Replace the partitions that ``rows`` touch, all at the job's commit. ``dealt``: they are grouped already."""
         keys = self._keys(table)
         shaped = self._shape(table, rows)
-        if keys != [WHOLE]:
-            # Rebalancing groups a partition's rows but splits a partition that is too large.
-            shaped = shaped.hint("rebalance", *keys)
+        if keys != [WHOLE] and not dealt:
+            shaped = self.dealt(table, shaped)
         (
             shaped.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
+            .option("compression", "zstd")
             .partitionBy(*keys)
             .parquet(self.path(table))
         )
@@ -93,23 +97,33 @@ class Warehouse:
             "report_bucket", ids.report_bucket(F.col(report), self.settings.report_buckets)
         )
 
-    def replace_chunks(self, incoming: DataFrame, replaced: DataFrame) -> DataFrame:
+    def replace_chunks(self, incoming: DataFrame, replaced: DataFrame, again: bool = False, dealt: bool = False) -> DataFrame:
         """Swap the chunks of the reports in ``replaced`` (channel_id, report_id).
 
         Returns the deleted count of each report. A report with no incoming chunks
-        loses its old ones, even when that empties a partition.
+        loses its old ones, even when that empties a partition. ``again``: the keys of
+        ``incoming`` are cheap to make more than once, so that it is not written before;
+        its other columns are computed for the write only. ``dealt``: it is grouped by folder already.
         """
         keys = self._keys("report_chunks")
-        incoming = stored(self.with_bucket(incoming), "incoming")
+        incoming = self.with_bucket(incoming)
+        if not again:
+            incoming = stored(incoming, "incoming")
         self.assert_unique("report_chunks", incoming)
         gone = cut_lineage(self.with_bucket(replaced.select("channel_id", "report_id").distinct()))
         current = self.read("report_chunks")
         touched = gone.select(*keys).distinct()
         affected = current.join(touched, keys, "left_semi")
         deleted = cut_lineage(catalog.chunks_per_report(affected, gone))
-        after = catalog.replace_chunks(affected, incoming, gone)
-        filled = cut_lineage(after.select(*keys).distinct())
+        # The reports beside them that stay are told by their ids; chunks are moved only where there are such.
+        staying = affected.select(*keys, "report_id").distinct()
+        staying = stored(catalog.without_reports(staying, gone), "staying")
+        after = incoming
+        if not staying.isEmpty():
+            kept = current.join(staying, [*keys, "report_id"], "left_semi")
+            after = (self.dealt("report_chunks", kept) if dealt else kept).unionByName(incoming)
+        filled = cut_lineage(staying.select(*keys).unionByName(incoming.select(*keys)).distinct())
         emptied = touched.join(filled, keys, "left_anti")
-        self.overwrite("report_chunks", after)
+        self.overwrite("report_chunks", after, dealt)
         self.drop_partitions("report_chunks", emptied)
         return deleted.withColumnRenamed("chunks", "deleted")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from lamplight import cli, schemas
 from lamplight.service import Service
@@ -85,3 +86,27 @@ def test_migrate(service, tmp_path):
 def test_settings_from_environment():
     got = Settings.from_env({"SESSION_HOURS": "3", "BUCKET": "b", "OCR_MIN_CONFIDENCE": "0.7", "OTHER": "x"})
     assert (got.session_hours, got.bucket, got.ocr_min_confidence) == (3, "b", 0.7)
+
+
+def test_ingest_moves_no_vectors_and_keeps_other_reports(spark, tmp_path, monkeypatch):
+    """Chunks are dealt out before they are embedded, and are written once; reports beside them in a folder stay."""
+    from lamplight import session
+    from lamplight.functions.providers import LexicalEmbedder
+    from lamplight.plans import ingest as plan
+    from lamplight.sources import extract, warehouse
+
+    written = []
+    monkeypatch.setattr(warehouse, "stored", lambda df, name="stage": written.append(df.columns) or session.stored(df, name))
+    store = warehouse.Warehouse(spark, str(tmp_path / "store"), Settings(report_buckets=1))
+
+    def ingest(names):
+        rows = [(n, "c", f"{n}.txt", "", {}, f"Title of {n}\nA line of {n}, the {i}th.") for i, n in enumerate(names)]
+        docs = spark.createDataFrame(rows, "seq string, channel_id string, filename string, title string, metadata map<string,string>, text string")
+        plan.ingest_documents(store, docs, extract.text_items(F.col("text")), LexicalEmbedder(), "plain-text")
+
+    ingest(["a", "b", "c"])
+    ingest(["b", "d"])
+    assert not any("embedding" in columns or "content" in columns for columns in written)
+    got = sorted(r["content"] for r in store.read("report_chunks").collect())
+    assert len(got) == 4 and [c.split()[2] for c in got] == ["a", "b", "c", "d"] and "the 0th" in got[1]
+    assert all(len(r["embedding"]) == 64 for r in store.read("report_chunks").collect())
