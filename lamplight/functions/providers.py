@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
+from lamplight.functions.memory import in_pieces
 from lamplight.settings import DEFAULTS
 
 
@@ -121,7 +122,7 @@ class LexicalEmbedder:
         dimension = self.sparse_dimension
 
         def rows(texts: pa.Array) -> pa.Array:
-            return _sparse_rows(texts, dimension)
+            return in_pieces(lambda part: _sparse_rows(part, dimension), texts)
 
         return F.arrow_udf(rows, "map<int,float>")(text)
 
@@ -129,7 +130,7 @@ class LexicalEmbedder:
         dimension = self.dimension
 
         def rows(texts: pa.Array) -> pa.Array:
-            return _dense_rows(texts, dimension)
+            return in_pieces(lambda part: _dense_rows(part, dimension), texts)
 
         return F.arrow_udf(rows, "array<float>")(text)
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from unicodedata import normalize
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
+from lamplight.functions.memory import in_pieces
 
 # The characters Unicode counts as white space when a string is stripped.
 WHITESPACE = (
@@ -47,7 +49,8 @@ def _nfkc(words: pa.Array) -> pa.Array:
 
 def _nfkc_lists(lists: pa.Array) -> pa.Array:
     filled = lists.fill_null([])
-    return pa.ListArray.from_arrays(filled.offsets, _nfkc(filled.flatten()), mask=lists.is_null())
+    offsets = pc.subtract(filled.offsets, filled.offsets[0])
+    return pa.ListArray.from_arrays(offsets, _nfkc(filled.flatten()), mask=lists.is_null())
 
 
 def nfkc(text: Column) -> Column:
@@ -59,7 +62,11 @@ def nfkc(text: Column) -> Column:
 def nfkc_all(texts: Column) -> Column:
     """Normalises every string of an array in one call."""
     foreign = F.exists(texts, lambda t: F.coalesce(t.rlike(r"[^\x00-\x7F]"), F.lit(False)))
-    return F.coalesce(F.arrow_udf(_nfkc_lists, "array<string>")(F.when(foreign, texts)), texts)
+
+    def rows(lists: pa.Array) -> pa.Array:
+        return in_pieces(_nfkc_lists, lists)
+
+    return F.coalesce(F.arrow_udf(rows, "array<string>")(F.when(foreign, texts)), texts)
 
 
 def language_from_counts(arabic: Column, latin: Column) -> Column:

@@ -6,8 +6,11 @@ from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lamplight.functions.memory import release
 from lamplight.session import shared_folder
 
+__all__ = ["Scratch", "release", "sampled", "table", "text_of"]
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -28,18 +31,6 @@ def sampled(df: DataFrame, rows: int, *keys: str | Column) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(*keys), F.lit(span)) < int(span * rows / total))
 
 
-def release() -> None:
-    """Gives memory that a worker has freed back to the machine: workers are kept from stage to stage."""
-    import ctypes
-
-    import pyarrow
-
-    pyarrow.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 class Scratch:
     """Intermediate tables in the shared folder, each deleted when its caller is done with it."""
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lamplight.functions.memory import release
+
 QUESTIONS_PER_PASS = 256
 # Cells of the dense score matrix per slice of a batch (64 MB of doubles).
 CELLS_PER_SLICE = 8_000_000
@@ -147,6 +149,8 @@ def _scorer(questions: Sequence[Question], k: int, dense: bool, sparse: bool, ze
                             allowed = allowed & (column < 0)
                         column = np.where(allowed & ~np.isnan(column), column, np.nan)
                         best[arm, n].offer(column, ids)
+            whole = block = None  # not held while the next batch is read
+            release()
         rows = [(labels[n], arm, i, s) for (arm, n), b in best.items() for s, i in b.rows]
         if rows:
             q, a, i, s = zip(*rows)

@@ -183,3 +183,25 @@ def test_lexical_embedder(spark):
     assert math.isclose(sum(x * x for x in got[0][0]), 1.0, rel_tol=1e-5)
     assert got[0][1] == {providers.token_id("the"): 2.0, providers.token_id("cat"): 1.0, providers.token_id("dog"): 1.0}
     assert len(got[1][0]) == 64 and got[1][1] == {} and got[2][1] == {}
+
+
+def test_batches_are_worked_on_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from lamplight.functions import memory, providers, splitting, text
+
+    texts = pa.array([None if i % 7 == 0 else f"Ünit {i} ﬁ " * (i % 50) for i in range(400)])
+    lists = pa.array([None if t is None else t.split(" ") for t in texts.to_pylist()], pa.list_(pa.string()))
+    words = [[{"type": "text", "content": t, "reading_order": 0, "page_number": 1, "bbox": None}] for t in texts.to_pylist()]
+    seen = []
+    monkeypatch.setattr(memory, "PIECE_BYTES", 2_000)
+    for made, values in (
+        (lambda a: providers._sparse_rows(a, 1000), texts),
+        (lambda a: providers._dense_rows(a, 8), texts),
+        (text._nfkc_lists, lists),
+        (splitting._pack, pa.array(words)),
+    ):
+        for part in (values, values[:0], values[3:90]):
+            got = memory.in_pieces(lambda a: seen.append(a.nbytes) or made(a), part)
+            assert got.to_pylist() == made(part).to_pylist()
+    assert max(seen) < 8_000
