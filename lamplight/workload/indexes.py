@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from lamplight.functions import ranking
-from lamplight.session import shared_folder
+from lamplight.session import shared_folder, stored
 from lamplight.sources import objects, standins as view
 from lamplight.sources.indexes import DenseIndex, SparseIndex
 from lamplight.sources.standins import sql_strip, with_views
@@ -30,7 +30,8 @@ def _place(spark, name: str) -> str:
 )
 def _(spark, folder):
     # Half of the chunks is indexed, then replaced and completed: what is found is what a full scan finds.
-    chunks = view.corpus(spark, folder).select("id", "channel_id", "embedding")
+    # Dealt out and stored: the index reads them several times, and the table may be one split.
+    chunks = stored(view.corpus(spark, folder).select("id", "channel_id", "embedding").repartition("id"), "chunks")
     index = DenseIndex(spark, _place(spark, "dense-index"), "long").fit(chunks, LISTS)
     half = chunks.where("id % 2 = 0")
     index.replace(half)
@@ -40,7 +41,8 @@ def _(spark, folder):
 
 
 def _sparse(spark, folder):
-    chunks = view.corpus(spark, folder).select("id", "channel_id", "sparse_embedding")
+    # Stored: the index reads them several times, and each would embed the texts again.
+    chunks = stored(view.corpus(spark, folder).select("id", "channel_id", "sparse_embedding"), "chunks")
     index = SparseIndex(spark, _place(spark, "postings"), "long")
     half = chunks.where("id % 2 = 0")
     index.replace(half)

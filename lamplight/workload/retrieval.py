@@ -8,6 +8,7 @@ from lamplight.functions import providers, ranking, vectors
 from lamplight.operators import fusion, neighbours, scoring
 from lamplight.operators.scoring import Question
 from lamplight.plans import search
+from lamplight.session import stored
 from lamplight.sources import standins as view
 from lamplight.sources.standins import sql_squash, sql_strip, sql_token, sql_words, with_views
 from lamplight.workload.register import query
@@ -143,7 +144,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    rows = view.corpus(spark, folder).select("id", "sparse_embedding")
+    rows = stored(view.corpus(spark, folder).select("id", "sparse_embedding"), "sparse")  # embedded once for both sides
     nxt = rows.select((F.col("id") - 1).alias("id"), F.col("sparse_embedding").alias("other"))
     product = vectors.sparse_dot(F.col("sparse_embedding"), F.col("other"))
     return rows.join(nxt, "id").select("id", F.round(product, 4).alias("product")).where("product > 0")

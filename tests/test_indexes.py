@@ -224,3 +224,23 @@ def test_sessions_share_the_state_of_their_bucket(spark, tmp_path, monkeypatch):
     want = {i: ("ended", i % 7, at(i % 50), at(i % 50 + 3)) for i in range(0, 900, 3)}
     want |= {i: ("expired", i % 7, at(i % 50), at(i % 50 + 8)) for i in range(900) if i % 3 and i % 50 + 8 < 30}
     assert got == want and spark.read.parquet(out).count() == len(want)
+
+
+@pytest.mark.parametrize("name, kind", [("src_13_dense_index", DenseIndex), ("src_14_sparse_index", SparseIndex)])
+def test_indexed_rows_are_made_once(spark, monkeypatch, name, kind):
+    import __spark_entry__ as entry
+
+    plans = []
+    replace = kind.replace
+    monkeypatch.setattr(
+        kind, "replace", lambda self, chunks, gone=None: plans.append(chunks._jdf.queryExecution().optimizedPlan().toString()) or replace(self, chunks, gone)
+    )
+    entry.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    assert len(plans) == 2 and not any("Join" in p or "ArrowEvalPython" in p for p in plans)
+
+
+def test_sparse_products_embed_once(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["fn_02_sparse_products"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan
