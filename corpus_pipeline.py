@@ -21,7 +21,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at a Jaccard similarity of 0.8: that of the smallest id."""
+    """One document of each group that five-word shingles link at a Jaccard similarity of 0.8: that of the smallest id.
+
+    SimHash gives the first candidates, exact similarities decide, and a prefix filter finds the pairs it misses."""
     ship(spark)
     return near_copies.one_of_each(docs)
 

@@ -5,9 +5,14 @@ any one order of all shingles, an element among the first ``n - ceil(0.8 n) + 1`
 are met. The order puts shingles that many texts of a sample have last, to keep common lines out of the prefixes;
 it decides how much is compared, never what is found.
 
-Of a text only the number of its shingles and its prefix are stored. Prefix shingles of one class alone are dropped
+SimHash gives the first candidates: classes whose ``simhash`` fingerprints differ in three bits at most are verified and, where
+they reach the bound, contracted. The prefix filter then meets only what still lies in different components, so that
+pairs at the bound whose fingerprints lie further apart are found too.
+
+Of a text only its fingerprint, the number of its shingles and its prefix are stored. Prefix shingles of one class alone are dropped
 before anything is joined: a Bloom filter passes those that classes share, a semi-join makes it exact. Shingle sets are
-made again for the classes of pairs that are to be verified, and for no others.
+made again for one text of each class of the pairs that are to be verified, and for no others: a Bloom filter of ids tells
+these texts where they lie.
 
 A shingle many classes share gives no pairs of all with all: each class is held against the least and the greatest of
 them, found links are contracted, and this is repeated with other ends for what still lies in different components. When
@@ -27,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from lamplight.llm import simhash
 from lamplight.llm.bloom import marked
 from lamplight.llm.components import components
 from lamplight.llm.simhash import _GAP, _LOWER
@@ -96,26 +102,44 @@ def _prefix(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndar
 
 
 def _read(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, node, n, keys) of each row of (id, text): its class, the number of its shingles, its prefix in order.
+    """(id, node, n, fp, keys) of each row of (id, text): its class, the number of its shingles, its SimHash fingerprint, its
+    prefix in order.
 
-    A class that comes again in a partition has its prefix left out.
+    A class that comes again in a partition has fingerprint and prefix left out, as a text without words has.
     """
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = set()
         for part in parts:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, prints, keys = [], [], [], []
             for text in part["text"]:
                 grams = shingles_of(text)
                 nodes.append(class_of(grams))
                 sizes.append(len(grams))
                 fresh = len(grams) and nodes[-1] not in seen
+                prints.append(int(np.uint64(simhash.fingerprint_of(text)).view(np.int64)) if fresh else None)
                 keys.append(_prefix(grams, common).view(np.int64) if fresh else [])
                 seen.add(nodes[-1])
-            yield pd.DataFrame({"id": part["id"], "node": nodes, "n": sizes, "keys": keys})
+            yield pd.DataFrame({"id": part["id"], "node": nodes, "n": sizes, "fp": pd.array(prints, "Int64"), "keys": keys})
         release()
 
-    return docs.mapInPandas(cut, f"id {docs.schema['id'].dataType.simpleString()}, node long, n long, keys array<long>")
+    id = docs.schema["id"].dataType.simpleString()
+    return docs.mapInPandas(cut, f"id {id}, node long, n long, fp long, keys array<long>")
+
+
+def _alike(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The distinct pairs (a, b) of classes that SimHash finds: each class of a fingerprint with the least one of it, and the
+    least ones of linked fingerprints."""
+    prints = scratch.keep(rows.filter("fp IS NOT NULL").select("node", "fp").distinct())
+    heads = scratch.keep(prints.groupBy("fp").agg(F.min("node").alias("head")))
+    near = scratch.keep(simhash.links(heads.select("fp")))
+    same = prints.join(heads, "fp").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    left, right = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}__head")) for c in "ab")
+    other = near.join(left, "a").join(right, "b").select(F.col("a__head").alias("a"), F.col("b__head").alias("b"))
+    both = same.unionByName(other).filter("a <> b")
+    found = scratch.keep(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    scratch.drop(prints, heads, near)
+    return found
 
 
 def _groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -130,8 +154,18 @@ def _groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return groups
 
 
+def _homes(rows: DataFrame) -> DataFrame:
+    """(node, home): of each class the hash of the id of one of its texts."""
+    return rows.groupBy("node").agg(F.min(F.xxhash64("id")).alias("home"))
+
+
+def _asked(docs: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
+    """The texts whose ids may be the homes of ``nodes``, told where they lie; all others are not made into sets."""
+    return marked(docs.withColumn("home", F.xxhash64("id")), nodes, count, "maybe", "home").filter("maybe").select("text")
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, whole: bool) -> DataFrame:
-    """(node, n, grams): the shingles of each class in ``nodes``, made from one of its texts, and their number.
+    """(node, n, grams): the shingles of each class in ``nodes`` (node, home), made from one of its texts, and their number.
 
     ``whole`` gives all 64 bits of each, else the distinct upper 32 bits.
     """
@@ -150,15 +184,16 @@ def _sets(docs: DataFrame, nodes: DataFrame, whole: bool) -> DataFrame:
             yield pd.DataFrame(rows, columns=["node", "n", "grams"])
         release()
 
-    sets = docs.select("text").mapInPandas(made, f"node long, n int, grams array<{'long' if whole else 'int'}>")
-    some = marked(sets, nodes, nodes.count(), "maybe", "node").filter("maybe").drop("maybe")
+    count = nodes.count()
+    sets = _asked(docs, nodes, count).mapInPandas(made, f"node long, n int, grams array<{'long' if whole else 'int'}>")
+    some = marked(sets, nodes, count, "maybe", "node").filter("maybe").drop("maybe")
     return some.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _met(pairs: DataFrame, docs: DataFrame, scratch: Scratch, whole: bool) -> DataFrame:
+def _met(pairs: DataFrame, docs: DataFrame, homes: DataFrame, scratch: Scratch, whole: bool) -> DataFrame:
     """(a, b, sizes, shared, more): of each pair the sizes of its sets added up, how many shingles are equal, and how many
     equal ones shortening can have hidden. Sets are made for classes of a pair only."""
-    nodes = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    nodes = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(homes, "node"))
     sets = scratch.keep(_sets(docs, nodes, whole))
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("grams").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("n"), F.col("grams").alias("y"))
@@ -172,7 +207,7 @@ def _met(pairs: DataFrame, docs: DataFrame, scratch: Scratch, whole: bool) -> Da
     return found
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame, scratch: Scratch) -> DataFrame:
     """Those of the distinct pairs (a, b) of classes that reach the bound.
 
     Half of each shingle's bits settles nearly all: chance makes more than ``CHANCE`` shingles of a pair equal less often
@@ -182,10 +217,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     def reach(shared):
         return UNDER * shared >= OVER * (F.col("sizes") - shared)
 
-    rough = _met(pairs, docs, scratch, False)
+    rough = _met(pairs, docs, homes, scratch, False)
     sure = reach(F.col("shared") - CHANCE)
     unsure = scratch.keep(rough.filter(~sure & reach(F.col("shared") + F.col("more"))).select("a", "b"))
-    exact = _met(unsure, docs, scratch, True)
+    if unsure.isEmpty():
+        found = scratch.keep(rough.filter(sure).select("a", "b"))
+        scratch.drop(rough, unsure)
+        return found
+    exact = _met(unsure, docs, homes, scratch, True)
     found = scratch.keep(rough.filter(sure).select("a", "b").unionByName(exact.filter(reach(F.col("shared"))).select("a", "b")))
     scratch.drop(rough, unsure, exact)
     return found
@@ -218,9 +257,10 @@ def _across(labelled: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges (a, b) that join exactly the classes which chains of pairs at the bound join; ``rows`` as read from ``docs``."""
+    homes = scratch.keep(_homes(rows))
+    tested = _alike(rows, scratch)
+    found = _verified(tested, docs, homes, scratch)
     groups = _groups(rows, scratch)
-    tested = scratch.keep(_ends(groups, F.col("node")))
-    found = _verified(tested, docs, scratch)
     turn, before = 0, None
     while True:
         labels = components(found)
@@ -234,18 +274,19 @@ def links(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
         sizes = own.groupBy("key").agg(F.sum("m").cast("double").alias("all"), F.sum(F.expr("double(m) * m")).alias("own"))
         apart, members = sizes.agg(F.sum(F.expr("(all * all - own) / 2")), F.sum("all")).first()
         if apart is None:
-            scratch.drop(groups, tested)
+            scratch.drop(groups, tested, homes)
             return found
-        last = apart <= FEW * members or (before is not None and apart > before / 2)
-        turn, before = turn + 1, apart
+        # What SimHash has left is held against ends once at least.
+        last = turn > 0 and (apart <= FEW * members or (before is not None and apart > before / 2))
         fresh = _across(left) if last else _ends(groups, F.xxhash64("node", F.lit(turn)))
+        turn, before = turn + 1, apart if turn else None
         pairs = scratch.keep(fresh.join(tested, ["a", "b"], "left_anti"))
-        more = _verified(pairs, docs, scratch)
+        more = _verified(pairs, docs, homes, scratch)
         both = scratch.keep(found.unionByName(more))
         scratch.drop(found, more)
         found = both
         if last:
-            scratch.drop(groups, tested, pairs)
+            scratch.drop(groups, tested, pairs, homes)
             return found
         both = scratch.keep(tested.unionByName(pairs))
         scratch.drop(tested, pairs)

@@ -127,3 +127,40 @@ def test_given_tables(spark):
     texts = {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
     got = near_copies.one_of_each(df).select("doc_id").collect()
     assert sorted(r.doc_id for r in got) == sorted(survivors(texts))
+
+
+def alike(rng):
+    """Texts by id: 1 and 2 with near fingerprints, 3 and 4 at the bound with distant ones, the others unlike."""
+    one, two = prose(rng, 400).split(), prose(rng, 400).split()
+    rows = {1: one, 2: [*one[:-1], "changed"], 3: two, 4: list(two)}
+    for at in range(10, 400, 60):
+        rows[4][at] = f"w{at}"
+    rows |= {i: prose(rng, 60).split() for i in range(5, 305)}
+    texts = {i: " ".join(words) for i, words in rows.items()}
+    apart = lambda i, j: (simhash.fingerprint_of(texts[i]) ^ simhash.fingerprint_of(texts[j])).bit_count()
+    assert apart(1, 2) <= simhash.DISTANCE < apart(3, 4)
+    return texts
+
+
+def test_simhash_gives_the_first_candidates(spark, docs, monkeypatch):
+    import corpus_pipeline
+
+    texts = alike(random.Random(9))
+    made = []
+    verified = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *more: made.append({(r.a, r.b) for r in pairs.collect()}) or verified(pairs, *more))
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs(list(texts.items())), "")
+    pair = lambda i, j: tuple(sorted(near_copies.class_of(near_copies.shingles_of(texts[k])) for k in (i, j)))
+    assert pair(1, 2) in made[0] and pair(3, 4) not in made[0]
+    assert not any(pair(1, 2) in later for later in made[1:])  # contracted, never met again
+    assert any(pair(3, 4) in later for later in made[1:])
+    assert {r.doc_id for r in got.collect()} == survivors(texts) == set(texts) - {2, 4}
+
+
+def test_sets_are_made_of_the_texts_of_pairs_only(docs, monkeypatch):
+    texts = alike(random.Random(10))
+    made = []
+    asked = near_copies._asked
+    monkeypatch.setattr(near_copies, "_asked", lambda *more: made.append(asked(*more).count()) or asked(*more))
+    assert near_copies.one_of_each(docs(list(texts.items()))).count() == len(texts) - 2
+    assert 4 <= sum(made) < 30
