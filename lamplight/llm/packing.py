@@ -181,9 +181,10 @@ def sequences(
             return pd.DataFrame(out, columns=columns)
 
         for batch in batches:
+            # The more texts go together, the fewer of their stretches are different.
+            ids = coder.ids(batch["text"].tolist())
             for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                coded = coder.ids(part["text"].tolist())
+                part, coded = batch.iloc[at : at + 512], ids[at : at + 512]
                 values = list(part[names].itertuples(index=False, name=None)) if names else [()] * len(part)
                 full = []
                 for value, own, first in zip(values, coded, part["loss_from"].tolist()):

@@ -16,8 +16,10 @@ import numpy as np
 from lamplight.llm.hashing import Hashes
 
 KEPT = 250_000
-#: A word of small Latin letters with one mark after it at most: letters and mark are tokens of their own.
-_SIMPLE = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
+#: A word of small Latin letters (a to z, ß to ö, ø to ÿ as UTF-8) and the marks after it: the tokenizer cuts it between letters
+#: and marks and nowhere else. Marks that may begin something longer (apostrophes, special tokens) are left out.
+_MARKS = b'!"#$%&()*+,-./:;=?@[\\]^_`{}~'
+_SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+[" + re.escape(_MARKS) + rb"]*")
 _TOGETHER = 64
 #: Characters of texts that are worked on together.
 TOGETHER = 1 << 21
@@ -44,8 +46,8 @@ class Encoder:
         self.known: dict[bytes, bytes] = {b"": b""}
         self.elder: dict[bytes, bytes] = {}
 
-    def _learn_words(self, words: list[str]) -> None:
-        joined = [" ".join(words[i : i + _TOGETHER]) for i in range(0, len(words), _TOGETHER)]
+    def _learn_words(self, words: list[bytes]) -> None:
+        joined = [b" ".join(words[i : i + _TOGETHER]).decode() for i in range(0, len(words), _TOGETHER)]
         coded = self.encode_words(joined, add_special_tokens=False)
         ids = np.fromiter(chain.from_iterable(c.ids for c in coded), "<u4")
         stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
@@ -53,38 +55,33 @@ class Encoder:
             raise RuntimeError("a word's tokens don't end with one end mark")
         data, start = ids.tobytes(), 0
         for word, stop in zip(words, stops.tolist()):
-            self.known[word.encode()] = data[start:stop]
+            self.known[word] = data[start:stop]
             start = stop
 
     def _recall(self, stretches: list[bytes]) -> list[bytes]:
         """Moves what is known of these to the younger generation; returns the others."""
         known, elder = self.known, self.elder
-        fresh = []
-        for stretch in stretches:
-            if stretch not in known:
-                ids = elder.get(stretch)
-                if ids is None:
-                    fresh.append(stretch)
-                else:
-                    known[stretch] = ids
-        return fresh
+        absent = [stretch for stretch in stretches if stretch not in known]
+        if not elder:
+            return absent
+        known.update({stretch: elder[stretch] for stretch in absent if stretch in elder})
+        return [stretch for stretch in absent if stretch not in elder]
 
     def _meet(self, fresh: list[bytes]) -> None:
-        simple, letters, marks, odd = [], [], [], []
+        known, simple = self.known, _SIMPLE.fullmatch
+        odd, words, marked = [], [], []
         for stretch in fresh:
-            m = _SIMPLE.fullmatch(stretch.decode("utf-8", "surrogatepass"))
-            if m:
-                simple.append(stretch)
-                letters.append(m[1])
-                marks.append(m[2])
-            else:
+            if not simple(stretch):
                 odd.append(stretch)
-        known = self.known
-        self._recall([w.encode() for w in {*letters, *marks}])
-        self._learn_words([w for w in {*letters, *marks} if w.encode() not in known])
-        for stretch, a, b in zip(simple, letters, marks):
-            if b:
-                known[stretch] = known[a.encode()] + known[b.encode()]
+            elif len(letters := stretch.rstrip(_MARKS)) < len(stretch):
+                marked.append((stretch, letters, stretch[len(letters) :]))
+            else:
+                words.append(stretch)
+        # Words without marks are new, since the stretches are; those before marks and the marks may be known.
+        parts = {part for _, *both in marked for part in both}.difference(words)
+        self._learn_words(words + self._recall(list(parts)))
+        for stretch, letters, marks in marked:
+            known[stretch] = known[letters] + known[marks]
         texts = [stretch.decode("utf-8", "surrogatepass") for stretch in odd]
         for stretch, coded in zip(odd, self.encode(texts, add_special_tokens=False)):
             known[stretch] = array("I", coded.ids).tobytes()

@@ -79,6 +79,8 @@ def test_cache_is_bounded(monkeypatch, plain):
     from lamplight.llm import tokens
 
     monkeypatch.setattr(tokens, "KEPT", 20)
+    from lamplight.llm import tokens
+
     coder = tokens.Encoder(packing.tokenizer_path())
     rng = random.Random(0)
     for _ in range(5):
@@ -286,3 +288,19 @@ def test_stages_keep_columns(spark, tiny, docs):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, source.limit(0), tiny).columns == source.columns, name
         assert stage(spark, source, tiny).schema == source.schema, name
+
+
+def test_words_with_marks_are_encoded_as_words(plain):
+    """Runs of marks after a word are a word of their own, so only what the tokenizer may cut elsewhere is given to it whole."""
+    from lamplight.llm import tokens
+
+    coder = tokens.Encoder(packing.tokenizer_path())
+    whole = []
+    encode = coder.encode
+    coder.encode = lambda texts, **more: whole.extend(texts) or encode(texts, **more)
+    marks = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+    simple = [f"{word}{run}" for word in ("word", "ßöäÿé", "s", "re") for run in ("", *marks, "...", "%%%", "&&&", "!?", marks)]
+    odd = ["it's", "x.'s", "a'", "a.b", "(a)", "f(x)", "a<", "a|", "a<|endoftext|>", "naïve1.", "日本.", "÷a", "a÷", "é.", "a.<"]
+    for texts in (simple, odd, [" ".join(simple + odd), " ".join(odd + simple)]):
+        assert [i.tolist() for i in coder.ids(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not set(whole) & set(simple)
