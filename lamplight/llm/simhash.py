@@ -144,9 +144,10 @@ WIDTHS = (32, 16, 8)
 
 def links(prints: DataFrame) -> DataFrame:
     """Edges (a, b) that join exactly the distinct fingerprints ``fp`` which chains of links join."""
-    # Dealt out before each fingerprint becomes 66 rows: by its bytes the input would seem to fit into a task or two.
+    # Dealt out before each fingerprint becomes 66 rows: by its bytes the input would seem to fit into a task or two. By a hash,
+    # since by the fingerprint itself the step is left out where rows are grouped by it already, and then merged into few.
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = prints.select(F.lit(0).cast("long").alias("key"), "fp", F.lit(0).alias("left")).repartition(tasks, "fp")
+    rows = prints.select(F.lit(0).cast("long").alias("key"), "fp", F.lit(0).alias("left")).repartition(tasks, F.xxhash64("fp"))
     found = None
     for width in WIDTHS:
         level = _level(rows, width)

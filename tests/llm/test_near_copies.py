@@ -164,3 +164,10 @@ def test_sets_are_made_of_the_texts_of_pairs_only(docs, monkeypatch):
     monkeypatch.setattr(near_copies, "_asked", lambda *more: made.append(asked(*more).count()) or asked(*more))
     assert near_copies.one_of_each(docs(list(texts.items()))).count() == len(texts) - 2
     assert 4 <= sum(made) < 30
+
+
+def test_variants_are_dealt_out(spark):
+    """Fingerprints grouped by themselves lie in few partitions, which would make 66 rows of each."""
+    prints = spark.range(1000).selectExpr("id % 500 AS fp").groupBy("fp").count().select("fp")
+    plan = simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
