@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -11,6 +12,25 @@ import pyarrow as pa
 PIECE_BYTES = 1 << 19
 
 
+#: What a worker keeps from task to task, under the name of the work it is kept for.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(work: str) -> dict:
+    """What a worker keeps for ``work`` from task to task; ``turn_to`` other work lets it go."""
+    return _KEPT.setdefault(work, {})
+
+
+def turn_to(work: str | None = None) -> None:
+    """Lets go of what a worker, which tasks of all stages use, keeps for other work than ``work``."""
+    others = [name for name in _KEPT if name != work]
+    for name in others:
+        del _KEPT[name]
+    if others:
+        gc.collect()
+        release()
+
+
 def release() -> None:
     """Gives memory that a worker has freed back to the machine."""
     pa.default_memory_pool().release_unused()

@@ -36,7 +36,7 @@ from lamplight.llm import simhash
 from lamplight.llm.bloom import marked
 from lamplight.llm.components import components
 from lamplight.llm.simhash import _GAP, _LOWER
-from lamplight.llm.tables import Scratch, release, sampled, text_of
+from lamplight.llm.tables import Scratch, release, sampled, text_of, turn_to
 
 WIDTH = 5
 #: The bound of the similarity as a fraction, so that all tests are on whole numbers.
@@ -78,6 +78,7 @@ def _common(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarr
     """Shingles that three texts or more of about ``sample`` have, ascending, and in how many: the most common of these."""
 
     def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn_to()
         for part in parts:
             held = [shingles_of(t) for t in part["text"]]
             key, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), [])
@@ -109,6 +110,7 @@ def _read(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn_to()
         seen = set()
         for part in parts:
             nodes, sizes, prints, keys = [], [], [], []
@@ -171,6 +173,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, whole: bool) -> DataFrame:
     """
 
     def made(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn_to()
         seen = set()
         for part in parts:
             rows = []

@@ -21,8 +21,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from lamplight.llm.tables import release, text_of
-from lamplight.llm.tokens import encoder
+from lamplight.llm.tables import release, text_of, turn_to
+from lamplight.llm.tokens import WORK, encoder
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
@@ -155,6 +155,7 @@ def sequences(
     schema = ", ".join([*(f"{n} string" for n in names), PIECES, *(["ids array<long>"] if with_ids else [])])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn_to(WORK)
         coder = encoder(path)
         base = TaskContext.get().partitionId() << 40
         made = 0

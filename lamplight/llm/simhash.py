@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from lamplight.llm.components import components
-from lamplight.llm.tables import text_of
+from lamplight.llm.tables import text_of, turn_to
 from lamplight.session import cut_lineage
 
 DISTANCE = 3
@@ -59,6 +59,7 @@ def fingerprint(text: str | Column = "text", width: int = 3) -> Column:
 
     @pandas_udf("long")
     def made(texts: pd.Series) -> pd.Series:
+        turn_to()
         prints = np.array([fingerprint_of(t, width) for t in texts], np.uint64)
         return pd.Series(prints.view(np.int64))
 
@@ -108,6 +109,7 @@ def _spanning(fps: np.ndarray) -> list[tuple[int, int]]:
 
 def _linked(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links within the groups of a partition sorted by key; a group may run over from batch to batch."""
+    turn_to()
     rest = None
     for part in groups:
         part = part if rest is None else pd.concat([rest, part], ignore_index=True)

@@ -6,10 +6,10 @@ from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lamplight.functions.memory import release
+from lamplight.functions.memory import release, turn_to
 from lamplight.session import shared_folder
 
-__all__ = ["Scratch", "release", "sampled", "table", "text_of"]
+__all__ = ["Scratch", "release", "sampled", "table", "text_of", "turn_to"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -9,10 +9,12 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 
+from lamplight.functions.memory import kept
 from lamplight.llm.hashing import Hashes
 
 KEPT = 250_000
@@ -23,6 +25,9 @@ _SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+[" + re.escape(_MARKS
 _TOGETHER = 64
 #: Characters of texts that are worked on together.
 TOGETHER = 1 << 21
+#: Of these, bytes that are hashed, stretches that are compared and texts that are encoded at a time: what is made of them on the way
+#: is many times as much.
+HASHED, COMPARED, ENCODED = 1 << 18, 1 << 15, 64
 
 
 class Encoder:
@@ -48,8 +53,7 @@ class Encoder:
 
     def _learn_words(self, words: list[bytes]) -> None:
         joined = [b" ".join(words[i : i + _TOGETHER]).decode() for i in range(0, len(words), _TOGETHER)]
-        coded = self.encode_words(joined, add_special_tokens=False)
-        ids = np.fromiter(chain.from_iterable(c.ids for c in coded), "<u4")
+        ids = np.fromiter(chain.from_iterable(_coded(self.encode_words, joined)), "<u4")
         stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
         if len(stops) != len(words):
             raise RuntimeError("a word's tokens don't end with one end mark")
@@ -83,8 +87,8 @@ class Encoder:
         for stretch, letters, marks in marked:
             known[stretch] = known[letters] + known[marks]
         texts = [stretch.decode("utf-8", "surrogatepass") for stretch in odd]
-        for stretch, coded in zip(odd, self.encode(texts, add_special_tokens=False)):
-            known[stretch] = array("I", coded.ids).tobytes()
+        for stretch, ids in zip(odd, _coded(self.encode, texts)):
+            known[stretch] = array("I", ids).tobytes()
 
     @staticmethod
     def _plain(text: str) -> str:
@@ -118,7 +122,7 @@ class Encoder:
         data = np.frombuffer(whole, np.uint8)
         stops = np.flatnonzero(data == 32)
         starts = np.r_[0, stops[:-1] + 1]
-        _, at, place = np.unique(Hashes(data).of(starts, stops), return_index=True, return_inverse=True)
+        _, at, place = np.unique(_hashes(data, starts, stops), return_index=True, return_inverse=True)
         stretches = [whole[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())]
         others = _unlike(data, starts, stops, at[place])
         if len(others):  # equal hashes, other bytes: these get entries of their own
@@ -146,6 +150,25 @@ class Encoder:
         return np.split(ids, last[:-1])
 
 
+def _coded(encode: Callable, texts: list[str]) -> Iterator[list[int]]:
+    """The ids of each text, ``ENCODED`` texts at a time."""
+    for at in range(0, len(texts), ENCODED):
+        for coded in encode(texts[at : at + ENCODED], add_special_tokens=False):
+            yield coded.ids
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The hashes of the stretches, about ``HASHED`` bytes at a time: a hash does not tell where its stretch lies."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(stops, base + HASHED, "right")))
+        out[at:to] = Hashes(data[base : stops[to - 1]]).of(starts[at:to] - base, stops[at:to] - base)
+        at = to
+    return out
+
+
 def _unlike(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, like: np.ndarray) -> np.ndarray:
     """The stretches whose bytes are not those of the stretch they are said to be like."""
     size = stops - starts
@@ -155,25 +178,29 @@ def _unlike(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, like: np.nd
     wide = np.lib.stride_tricks.as_strided(data, (max(0, len(data) - 7), 8), (1, 1)) if len(data) >= 8 else None
     bad = [np.flatnonzero(~same)]
     for long in (False, True):
-        part = asked[(size[asked] >= 8) == long]
+        those = asked[(size[asked] >= 8) == long]
         step = 8 if long else 1
-        count = -(-size[part] // step)
-        row = np.repeat(part, count)
-        inner = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * step
-        if long:
-            inner = np.minimum(inner, size[row] - 8)
-        a, b = starts[row] + inner, starts[like[row]] + inner
-        if len(a):
-            differ = (wide[a] != wide[b]).any(1) if long else data[a] != data[b]
-            bad.append(np.unique(row[differ]))
+        for at in range(0, len(those), COMPARED):
+            part = those[at : at + COMPARED]
+            count = -(-size[part] // step)
+            row = np.repeat(part, count)
+            inner = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * step
+            if long:
+                inner = np.minimum(inner, size[row] - 8)
+            a, b = starts[row] + inner, starts[like[row]] + inner
+            if len(a):
+                differ = (wide[a] != wide[b]).any(1) if long else data[a] != data[b]
+                bad.append(np.unique(row[differ]))
     return np.concatenate(bad)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+#: The work that encoders are kept for.
+WORK = "tokens"
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder a process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One encoder a process and file, kept until the process turns to other work."""
+    encoders = kept(WORK)
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from lamplight.llm.tables import Scratch, release, sampled, text_of
+from lamplight.llm.tables import Scratch, release, sampled, text_of, turn_to
 
 WINDOW, STEP, LEAD = 96, 72, 32
 SAMPLE = 4_000
@@ -167,6 +167,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 def _evidence(ordinary: bytes, toxic: bytes, saving: int) -> Column:
     @pandas_udf(EVIDENCE)
     def gathered(texts: pd.Series) -> pd.DataFrame:
+        turn_to()
         return pd.DataFrame(evidence_of(texts.tolist(), ordinary, toxic, saving), columns=["most", "hits", "count"])
 
     return gathered("text")
@@ -220,6 +221,7 @@ def score(model: Model, text: str | Column = "text") -> Column:
 
     @pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
+        turn_to()
         scores = pd.Series(shared.score(texts.tolist()))
         release()
         return scores

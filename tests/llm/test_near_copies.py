@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
+import weakref
 
+import pandas as pd
 import pytest
+from tokenizers import Tokenizer
 
-from lamplight.llm import near_copies, simhash
+from lamplight.llm import hashing, near_copies, packing, simhash, tokens
 from test_texts import prose
 
 
@@ -171,3 +175,33 @@ def test_variants_are_dealt_out(spark):
     prints = spark.range(1000).selectExpr("id % 500 AS fp").groupBy("fp").count().select("fp")
     plan = simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_a_worker_lets_go_of_what_packing_keeps(docs, monkeypatch):
+    """Workers are used by the tasks of all stages, so what one stage keeps in them would count in every later one."""
+    run = []
+    df = docs([(1, "some words")]).selectExpr("doc_id AS id", "text")
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, made, schema: run.append(made) or self)
+    near_copies._read(df, ([], []))
+    held = weakref.ref(tokens.encoder(packing.tokenizer_path()))
+    assert held() is tokens.encoder(packing.tokenizer_path())
+    (read,) = list(run[0](iter([pd.DataFrame({"id": [1], "text": ["some words"]})])))
+    assert read["n"].tolist() == [1] and held() is None
+
+
+def test_tokens_of_long_texts_take_little_memory_on_the_way(monkeypatch):
+    """1.8 million characters: 64 MB where all are hashed and compared at once, 34 MB piece by piece."""
+    monkeypatch.setattr(hashing, "_POWERS", hashing._Powers())
+    rng = random.Random(4)
+    words = [prose(rng, 1) + str(i) for i in range(3_000)]
+    texts = [" ".join(rng.choices(words, k=1_000)) for _ in range(200)]
+    coder = tokens.Encoder(packing.tokenizer_path())
+    tracemalloc.start()
+    try:
+        found = coder.ids(texts)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    plain = Tokenizer.from_file(packing.tokenizer_path())
+    assert [ids.tolist() for ids in found] == [c.ids for c in plain.encode_batch(texts, add_special_tokens=False)]
+    assert most < 45e6
