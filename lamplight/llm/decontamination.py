@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from lamplight.llm.tables import text_of, turn_to
+from lamplight.llm.tables import release, text_of, turn_to
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -242,7 +242,9 @@ def _searcher(index: Index):
     @pandas_udf(FOUND)
     def found(texts: pd.Series) -> pd.Series:
         turn_to()
-        return pd.Series([shared.items_in(t) for t in texts])
+        hits = pd.Series([shared.items_in(t) for t in texts])
+        release()
+        return hits
 
     return found
 

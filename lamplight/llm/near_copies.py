@@ -327,7 +327,8 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     def node(texts: pd.Series) -> pd.Series:
         return pd.Series([class_of(shingles_of(t)) for t in texts], dtype="int64")
 
-    rest = asked.filter("near__maybe").withColumn("near__node", node(text_of(text)))
+    # Known not to be null, or the join's test for nulls has it made twice, by a second worker for each task.
+    rest = asked.filter("near__maybe").withColumn("near__node", F.coalesce(node(text_of(text)), F.lit(0).cast("long")))
     match = rest[id].eqNullSafe(kept["kept__id"]) & (rest["near__node"] == kept["kept__node"])
     rest = rest.join(kept, match, "left_semi").dropDuplicates([id, "near__node"])
     return asked.filter("NOT near__maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))

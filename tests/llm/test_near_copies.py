@@ -205,3 +205,9 @@ def test_tokens_of_long_texts_take_little_memory_on_the_way(monkeypatch):
     plain = Tokenizer.from_file(packing.tokenizer_path())
     assert [ids.tolist() for ids in found] == [c.ids for c in plain.encode_batch(texts, add_special_tokens=False)]
     assert most < 45e6
+
+
+def test_classes_are_made_once_where_rows_are_kept(docs):
+    """Made twice, one after the other, they took two workers a task, which were kept for all later stages."""
+    plan = near_copies.one_of_each(docs([(1, "some words"), (2, "Some words"), (3, "others")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
