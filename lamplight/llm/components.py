@@ -2,13 +2,14 @@
 
 Each round is a few shuffles on node ids; the number of rounds grows with the logarithm of the longest path. Between
 rounds the edges are cut from their lineage in the shared folder. Hot nodes are folded by partial aggregation; joins on
-them are left to the adaptive skew join.
+them are left to the adaptive skew join, and none passes through the driver.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lamplight.llm.tables import unsent
 from lamplight.session import cut_lineage
 
 MOST_ROUNDS = 60
@@ -22,14 +23,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is linked to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = _least_neighbour(both).withColumn("m", F.least("a", "m"))
-    upper = both.filter("b > a").join(least, "a")
+    upper = both.filter("b > a").join(unsent(least), "a")
     return upper.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node and its neighbours below are linked to the least of these. Edges hold the larger node first."""
     least = _least_neighbour(edges)
-    below = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    below = edges.join(unsent(least), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return below.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 

@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from lamplight.llm.bloom import marked
 from lamplight.llm.components import components
-from lamplight.llm.tables import text_of, turn_to
+from lamplight.llm.tables import text_of, turn_to, unsent
 from lamplight.session import cut_lineage
 
 DISTANCE = 3
@@ -153,17 +154,19 @@ def links(prints: DataFrame) -> DataFrame:
     found = None
     for width in WIDTHS:
         level = _level(rows, width)
-        counts = level.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        shared = level.join(counts, "key")
+        counts = cut_lineage(level.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+        # Nearly all variants are of one fingerprint alone: these are told where they are made, and not moved again.
+        some = marked(level, counts, counts.count(), "maybe").filter("maybe").drop("maybe")
+        shared = some.join(unsent(counts), "key")
         last = width == WIDTHS[-1]
         small = shared if last else shared.filter(F.col("n") <= GROUP)
         dealt = small.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
         edges = dealt.mapInPandas(_linked, "a long, b long")
         found = edges if found is None else found.unionByName(edges)
         if not last:
-            rows = cut_lineage(shared.filter(F.col("n") > GROUP).select("key", "fp", "left"))
-            if rows.isEmpty():
+            if counts.filter(F.col("n") > GROUP).isEmpty():
                 break
+            rows = cut_lineage(shared.filter(F.col("n") > GROUP).select("key", "fp", "left"))
     return found.distinct()
 
 
@@ -176,14 +179,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     prints = cut_lineage(docs.select(F.col(id), fingerprint(text).alias("fp")))
     reached = _reached(prints, id)
     smallest = reached.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = reached.select("fp", "component").join(smallest, "component").select("fp", "component_id")
-    return prints.join(classes, "fp").select(id, "fp", "component_id")
+    classes = reached.select("fp", "component").join(unsent(smallest), "component").select("fp", "component_id")
+    return prints.join(unsent(classes), "fp").select(id, "fp", "component_id")
 
 
 def _reached(prints: DataFrame, id: str) -> DataFrame:
     """(fp, least, component): of each distinct fingerprint the least id that has it, and its component."""
     distinct = prints.groupBy("fp").agg(F.min(id).alias("least"))
-    joined = components(links(distinct.select("fp")))
+    joined = unsent(components(links(distinct.select("fp"))))
     return distinct.join(joined, distinct["fp"] == joined["node"], "left").select(
         distinct["fp"], "least", F.coalesce("component", distinct["fp"]).alias("component")
     )
@@ -197,12 +200,12 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     print_ = f"{text}__fp"
     if print_ in docs.columns:
         raise ValueError(f"a column {print_} is there already")
-    marked = docs.withColumn(print_, fingerprint(text))
-    reached = _reached(cut_lineage(marked.select(F.col(id), F.col(print_).alias("fp"))), id)
+    printed = docs.withColumn(print_, fingerprint(text))
+    reached = _reached(cut_lineage(printed.select(F.col(id), F.col(print_).alias("fp"))), id)
     first = F.struct(F.col("least").isNull().alias("none"), "least", "fp")
     kept = reached.groupBy("component").agg(F.min(first).alias("first")).select(
         F.col("first.fp").alias("kept_fp"), F.col("first.least").alias("kept_id")
     )
-    match = (marked[print_] == kept["kept_fp"]) & marked[id].eqNullSafe(kept["kept_id"])
+    match = (printed[print_] == kept["kept_fp"]) & printed[id].eqNullSafe(kept["kept_id"])
     # The id is part of the key, so a group of copies is spread over all tasks.
-    return marked.join(kept, match, "left_semi").dropDuplicates([print_, id]).select(*docs.columns)
+    return printed.join(unsent(kept), match, "left_semi").dropDuplicates([print_, id]).select(*docs.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lamplight.functions.memory import release, turn_to
 from lamplight.session import shared_folder
 
-__all__ = ["Scratch", "release", "sampled", "table", "text_of", "turn_to"]
+__all__ = ["Scratch", "release", "sampled", "table", "text_of", "turn_to", "unsent"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,13 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is sorted and merged, never collected by the driver and sent to all tasks.
+
+    Spark takes rows that an array or Python made many of for as large as those they were made from, and a table for its files."""
+    return df.hint("merge")
+
+
 def sampled(df: DataFrame, rows: int, *keys: str | Column) -> DataFrame:
     """About ``rows`` rows of ``df``, or all if there are fewer: those whose keys' hash lies under a bound set from the
     count. The same rows on every run; no row is sorted or moved."""

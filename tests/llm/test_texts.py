@@ -253,6 +253,31 @@ def test_links_lose_nothing(spark, monkeypatch, group):
     assert found == expected
 
 
+def ran(df):
+    """The plan that ran: joins are chosen anew by the sizes met on the way."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_variants_and_stars_are_not_broadcast(spark):
+    """The 66 variants of a fingerprint seem as small as the fingerprint; they may not pass through the driver."""
+    from lamplight.llm.components import _large_star, _small_star
+
+    prints = spark.range(1000).selectExpr("xxhash64(id) AS fp")
+    assert "SortMergeJoin [key" in ran(simhash.links(prints))
+    edges = spark.range(1, 50).selectExpr("id AS a", "id - 1 AS b")
+    assert "BroadcastHashJoin" not in ran(_large_star(edges)) + ran(_small_star(edges))
+
+
+def test_variants_of_one_fingerprint_alone_are_not_moved(spark):
+    """66 variants of each of 1,000 fingerprints, of which two are near: before, all were dealt out once more to be joined."""
+    prints = spark.range(1000).selectExpr("xxhash64(id) AS fp").unionByName(spark.range(1).selectExpr("shiftleft(1L, 40) ^ xxhash64(7L) AS fp"))
+    links = simhash.links(prints)
+    (pair,) = links.collect()
+    assert bin((pair.a ^ pair.b) & (1 << 64) - 1).count("1") == 1
+    assert "bloom__block" in links._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_near_duplicates_edge_cases(spark, docs):
     rows = [(5, "same text here now"), (3, "same text here now"), (3, "same text here now"), (None, "same text here now"), (7, None), (8, ""), (9, "other words")]
     df = docs(rows)
