@@ -16,7 +16,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-CANDIDATES, QUERIES, DIMENSIONS = 4_096, 1_024, 16
+from lamplight.llm.tables import unsent
+
+#: Candidates and queries of a block, dimensions of a step. The other side is moved once for each block of a side.
+CANDIDATES, QUERIES, DIMENSIONS = 4_096, 8_192, 16
 #: Sums below this are exact in doubles.
 EXACT = float(1 << 53)
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -143,7 +146,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, id: str = "vec_id",
     right = _blocks(query, "query", QUERIES, query_blocks).withColumn(
         "cand", F.explode(F.sequence(F.lit(0), F.lit(cand_blocks - 1)))
     )
-    pairs = left.join(right, ["cand", "query"]).select("cand_rows", "query_rows")
+    # Spark takes the copies of the blocks for one: a side that seemed small would be collected by the driver.
+    pairs = left.join(unsent(right), ["cand", "query"]).select("cand_rows", "query_rows")
     best = pairs.mapInArrow(_scorer(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -210,6 +210,23 @@ def test_vector_search(spark, monkeypatch, scale):
         vector_search.top_k(df, df, 0)
 
 
+def test_copies_of_query_blocks_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "CANDIDATES", 40)
+    df = spark.range(400).selectExpr("id AS vec_id", "array(double(id % 7), 1.0D) AS embedding")
+    best = vector_search.top_k(df.filter("vec_id % 100 = 0"), df, 3)
+    assert best.count() == 12
+    best.collect()
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_few_query_blocks_move_candidates_few_times(spark):
+    """Candidates are moved once for each block of queries: 5,000 queries were five blocks."""
+    df = spark.range(6_000).selectExpr("id AS vec_id", "array(double(id % 7)) AS embedding")
+    best = vector_search.top_k(df.filter("vec_id < 5000"), df.filter("vec_id < 10"), 1)
+    assert "sequence(0, 0)" in best._jdf.queryExecution().analyzed().toString() or "sequence(0, 0," in best._jdf.queryExecution().analyzed().toString()
+
+
 @pytest.fixture(scope="module")
 def items():
     rng = random.Random(8)
