@@ -6,12 +6,13 @@ import random
 import tracemalloc
 import weakref
 
+import numpy as np
 import pandas as pd
 import pytest
 from tokenizers import Tokenizer
 
 from lamplight.llm import hashing, near_copies, packing, simhash, tokens
-from test_texts import prose
+from test_texts import prose, ran
 
 
 def shingles(text):
@@ -211,3 +212,56 @@ def test_classes_are_made_once_where_rows_are_kept(docs):
     """Made twice, one after the other, they took two workers a task, which were kept for all later stages."""
     plan = near_copies.one_of_each(docs([(1, "some words"), (2, "Some words"), (3, "others")]))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_what_is_many_times_its_source_is_not_broadcast(spark):
+    """Blocks of a crowded shingle seem as small as what they are made from; none may pass through the driver."""
+    labelled = spark.range(200).selectExpr("id % 2 AS key", "id AS node", "10L AS n", "9L AS rest", "id AS c")
+    assert "SortMergeJoin" in (plan := ran(near_copies._across(labelled))) and "BroadcastHashJoin" not in plan
+    assert "BroadcastHashJoin" not in ran(near_copies._ends(labelled.drop("c"), labelled["node"]))
+
+
+def test_sketches_rule_out_unlike_pairs_only(spark):
+    rng = random.Random(11)
+    pool = [rng.getrandbits(64) for _ in range(3_000)]
+    sets = []
+    for n in (1, 2, 3, 31, 32, 33, 60, 64, 65, 127, 129, 400, 1000):
+        own = rng.sample(pool, n)
+        sets += [own, rng.sample(pool, n), own[: max(1, n * 4 // 5)], own[: -(-n * 9 // 10)], own + [rng.getrandbits(64) for _ in range(n // 4)]]
+    sets = [np.unique(np.array(s, np.uint64)) for s in sets]
+    homes = spark.createDataFrame([(i, i, len(s), near_copies._sketch(s).tolist()) for i, s in enumerate(sets)], "node long, home long, n long, bits array<long>")
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j)]
+    scratch = near_copies.Scratch(spark, "test")
+    likely = {(r.a, r.b) for r in near_copies._likely(spark.createDataFrame(pairs, "a long, b long"), homes, scratch).collect()}
+    similarity = {(i, j): len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for i, j in pairs}
+    assert {p for p, s in similarity.items() if s >= 0.8} <= likely
+    assert not [p for p in likely if similarity[p] < 0.5 and len(sets[p[0]]) >= 60]
+
+
+def test_sets_are_not_made_of_unlike_texts_that_share_shingles(docs, monkeypatch):
+    rng = random.Random(12)
+    texts = {}
+    for i in range(0, 80, 2):  # pairs of texts that share two fifths of their shingles, and so some of their first ones
+        words = prose(rng, 60)
+        texts |= {i: f"{words} {prose(rng, 40)}", i + 1: f"{words} {prose(rng, 40)}"}
+    made = []
+    asked = near_copies._asked
+    monkeypatch.setattr(near_copies, "_asked", lambda *more: made.append(asked(*more).count()) or asked(*more))
+    met = []
+    verified = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *more: met.append(pairs.count()) or verified(pairs, *more))
+    assert near_copies.one_of_each(docs(list(texts.items()))).count() == 80
+    assert sum(met) > 20 and sum(made) < 10
+
+
+def test_pairs_are_settled_in_turns(docs, monkeypatch):
+    monkeypatch.setattr(near_copies, "LEAST_PAIRS", 4)
+    monkeypatch.setattr(near_copies, "CLASSES_A_PAIR", 1_000)
+    turns = []
+    settled = near_copies._settled
+    monkeypatch.setattr(near_copies, "_settled", lambda pairs, *more: turns.append(pairs.count()) or settled(pairs, *more))
+    rng = random.Random(4)
+    words = prose(rng, 150).split()
+    texts = {i: " ".join([*words[: 12 * i], f"w{i}", *words[12 * i + 1 :]]) for i in range(9)} | {9: prose(rng, 60)}
+    assert {r.doc_id for r in near_copies.one_of_each(docs(list(texts.items()))).collect()} == survivors(texts) == {0, 9}
+    assert len(turns) > 1
