@@ -66,6 +66,7 @@ def nfkc_all(texts: Column) -> Column:
     def rows(lists: pa.Array) -> pa.Array:
         return in_pieces(_nfkc_lists, lists)
 
+    rows.__name__ = _nfkc_lists.__name__  # as plans show it
     return F.coalesce(F.arrow_udf(rows, "array<string>")(F.when(foreign, texts)), texts)
 
 
